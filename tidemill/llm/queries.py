@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan, simhash_dedup, token_counts
+from . import (
+    exact_topk,
+    language_id,
+    license_scan,
+    piece_codec,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    source_mix,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": source_mix.query,
     "op2_secret_scan": secret_scan.query,
     "op3_simhash_dedup": simhash_dedup.query,
+    "op4_exact_topk": exact_topk.query,
+    "op5_piece_codec": piece_codec.query,
     "op6_token_counts": token_counts.query,
+    "op7_license_scan": license_scan.query,
+    "op8_quality_classifier": quality_classifier.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_language_id": language_id.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": source_mix.sql(), "op4_exact_topk": exact_topk.SQL}

@@ -9,7 +9,8 @@ bucket pass the chain's budgets of 1 and 2 bits before the full Hamming check.
 Copies are folded first: only distinct fingerprints take part. Within a bucket links are searched breadth-first, so a
 dense bucket costs about its size and gives a spanning forest, not all pairs. A bucket of more than ``bucket_rows``
 fingerprints is filed again: what is left of the ring's bits is cut into four, of which at least one part agrees, until
-buckets are small enough (with 12 bits or fewer left they hold 4,096 fingerprints at most). No pair is lost.
+buckets are small enough (with 12 bits left they hold 4,096 fingerprints at most, with 3 all of them are linked). No
+pair is lost.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 shorter texts than a shingle are one shingle; repeated rows each get a row; a null id gets a row, and takes no part in
@@ -185,7 +186,7 @@ def _search(limit: int):
                     bucket, held, rows, large = this, [], 0, False
                 rows += b - a
                 held.append(fp[a:b])
-                if not large and rows > limit:
+                if not large and rows > limit and this[1].bit_count() < 64 - MOST:  # with fewer free bits all are linked
                     large = True
                 if large:
                     rest = np.concatenate(held)
