@@ -11,7 +11,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ["tidemill.plans.tpch"]
+_MODULES = [
+    "tidemill.plans.tpch",
+    "tidemill.plans.star",
+    "tidemill.plans.sql",
+    "tidemill.operators.relational",
+    "tidemill.operators.aggregates",
+    "tidemill.functions.scalar",
+    "tidemill.sources.queries",
+    "tidemill.streaming.queries",
+    "tidemill.versioned.queries",
+]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
