@@ -34,8 +34,8 @@ MARK = "▁"
 #: Longest run that is encoded as one piece of lattice, and the length of the chunks of longer ones.
 LONGEST, CHUNK = 256, 128
 #: Distinct words that a Python worker keeps encodings of, and characters whose lattice is built at once.
-KEPT = 400_000
-LATTICE_CHARS = 1 << 20
+KEPT = 150_000
+LATTICE_CHARS = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1 << 40)
 
@@ -104,7 +104,7 @@ class PieceModel:
                 self.tables[length] = (hashed[order], np.array([i for _, i in own])[order], chars[order])
         self.odd: dict[int, int] = {}  # places of characters outside the vocabulary, behind its ids
         self.odd_chars: list[int] = []
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
     @staticmethod
     def _hash(windows: np.ndarray) -> np.ndarray:
@@ -237,6 +237,8 @@ class PieceModel:
         return out[::-1]
 
     def _ids(self, path: list[int]) -> np.ndarray:
+        if max(path) < self.size:
+            return np.array(path, dtype=np.int32)
         out: list[int] = []
         for piece in path:
             if piece < self.size:
@@ -257,11 +259,11 @@ class PieceModel:
             last, base, _ = self.forward(part, np.full(len(part), -1, dtype=np.int64))
             flat = last.tolist()
             for w, b in zip(part, base.tolist()):
-                self.known[w] = self._ids(self._traced(flat, b, b + len(w)))
+                self.known[w] = self._ids(self._traced(flat, b, b + len(w))).tobytes()
             at = upto
         for w in words:
             if len(w) > LONGEST:
-                self.known[w] = self._ids(self.scan(w))
+                self.known[w] = self._ids(self.scan(w)).tobytes()
 
     def scan(self, run: str, chunk: int = CHUNK) -> list[int]:
         """The path of one long run by chunks: states, transfer matrices, their max-plus scan, and backtraces."""
@@ -334,7 +336,7 @@ class PieceModel:
         self._learn(list(new))
         known = self.known.__getitem__
         empty = np.zeros(0, dtype=np.int32)
-        return [np.concatenate(list(map(known, words))) if words else empty for words in split]
+        return [np.frombuffer(b"".join(map(known, words)), dtype=np.int32) if words else empty for words in split]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         parts = list(map(self.as_text.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
