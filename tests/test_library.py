@@ -76,9 +76,9 @@ def test_versions(spark, table):
 
 
 def test_many_versions(table, spark):
-    for i in range(23):
+    for i in range(12):
         table.append(spark.createDataFrame([(i + 10, "x")], "id int, v string"))
-    assert table.to_df().count() == 27
+    assert table.to_df().count() == 16
     assert table.to_df(version=11).count() == 15
 
 
