@@ -102,6 +102,7 @@ class PieceModel:
                 hashed = self._hash(chars)
                 order = np.argsort(hashed)
                 self.tables[length] = (hashed[order], np.array([i for _, i in own])[order], chars[order])
+        self.widths = np.array([*map(len, self.pieces), 1], dtype=np.int64)  # the last is that of all odd characters
         self.odd: dict[int, int] = {}  # places of characters outside the vocabulary, behind its ids
         self.odd_chars: list[int] = []
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
@@ -247,6 +248,28 @@ class PieceModel:
                 out += self.byte_id[list(chr(self.odd_chars[piece - self.size]).encode("utf-8", "surrogatepass"))].tolist()
         return np.array(out, dtype=np.int32)
 
+    def _keep(self, words: list[str], last: np.ndarray, base: np.ndarray) -> None:
+        """Backtraces all ``words`` of a forward pass, a piece of each at a time, and keeps their ids."""
+        stop = base + np.array([len(w) for w in words], dtype=np.int64)
+        taken = np.zeros(len(last), dtype=bool)
+        n_pieces = np.zeros(len(words), dtype=np.int64)
+        live, at = np.arange(len(words)), stop.copy()
+        while len(live):
+            piece = last[at - 1]
+            taken[at - 1] = True
+            n_pieces[live] += 1
+            at = at - self.widths[np.minimum(piece, self.size)]
+            go = at > base[live]
+            live, at = live[go], at[go]
+        path = last[taken]
+        ends = np.cumsum(n_pieces)
+        begins = ends - n_pieces
+        odd = np.flatnonzero(np.logical_or.reduceat(path >= self.size, begins))
+        data = path.astype(np.int32).tobytes()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, (begins * 4).tolist(), (ends * 4).tolist()))
+        for i in odd.tolist():  # characters outside the vocabulary become bytes
+            self.known[words[i]] = self._ids(path[begins[i] : ends[i]].tolist()).tobytes()
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if len(w) <= LONGEST]
         at = 0
@@ -257,9 +280,7 @@ class PieceModel:
                 upto += 1
             part = plain[at:upto]
             last, base, _ = self.forward(part, np.full(len(part), -1, dtype=np.int64))
-            flat = last.tolist()
-            for w, b in zip(part, base.tolist()):
-                self.known[w] = self._ids(self._traced(flat, b, b + len(w))).tobytes()
+            self._keep(part, last, base)
             at = upto
         for w in words:
             if len(w) > LONGEST:
@@ -328,10 +349,10 @@ class PieceModel:
         return re.split(f"(?<=[^{MARK}])(?={MARK})", whole)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > KEPT:
-            self.known = {}
         split = [self.words_of(t) for t in texts]
         new = set().union(*split)
+        if len(self.known) > KEPT:  # words that this block has, too, stay
+            self.known = {w: ids for w, ids in self.known.items() if w in new}
         new.difference_update(self.known)
         self._learn(list(new))
         known = self.known.__getitem__
