@@ -22,6 +22,7 @@ from tidemill.llm import (
     quality_rules,
     secret_scan,
     simhash_dedup,
+    similar_sets,
     source_mix,
     token_counts,
     trigram_query,
@@ -232,6 +233,44 @@ def test_simhash_repeated_and_missing_ids(spark):
     assert simhash_dedup.keep_first(docs_of(spark, [])).count() == 0
 
 
+def brute_sets(texts):
+    words = [SP.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def brute_similar(texts):
+    sets, parent = brute_sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("bucket_rows", [64, 3])
+def test_similar_sets_find_every_pair(spark, data, bucket_rows):
+    rng = random.Random(6)
+    texts = list(ODD)
+    for _ in range(6):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(4, 120))] + "a line that all of them have in common".split()
+        for _ in range(15):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w + [f"y{rng.randrange(10**6)}"] * rng.randint(0, 6)))
+    kept = similar_sets.keep_first(docs_of(spark, texts), bucket_rows=bucket_rows)
+    assert kept.columns == DOCS.names
+    assert {r.doc_id for r in kept.collect()} == set(brute_similar(texts))
+    assert similar_sets.keep_first(docs_of(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)]

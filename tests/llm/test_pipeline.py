@@ -68,3 +68,14 @@ def test_stages_keep_columns_and_take_odd_rows(spark, data):
         out = corpus_pipeline.STAGES[-1][1](spark, now, data)
         assert "doc_id" in out.columns
         out.collect()
+
+
+def test_near_duplicates_by_similarity(spark, data):
+    """Edited copies that differ in more than three bits of a fingerprint go, too."""
+    from test_operators import brute_similar
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    roots = brute_similar([r.text for r in rows])
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
+    assert got == {r.doc_id for i, r in enumerate(rows) if roots[i] == i}

@@ -19,7 +19,7 @@ minima; an empty table gives no rows; extra columns take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -245,7 +245,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """One row of each component of ``df``, that with the smallest id, with its columns as they were. Rows without an
     id yield to those with one; of rows that share the smallest id, or of a component without ids, one stays."""
     narrow = written(with_fingerprints(df.select(id_col, text), text, drop=(text,), shingle=shingle), "simhash-fp")
-    found = classes(narrow, id_col)
+    return first_rows(df, narrow, classes(narrow, id_col), lambda rows, column, drop: with_fingerprints(rows, column, drop, shingle), id_col, text)
+
+
+def first_rows(df: DataFrame, narrow: DataFrame, found: DataFrame, prints: Callable[..., DataFrame], id_col: str, text: str) -> DataFrame:
+    """The rows that ``keep_first`` keeps, by ``narrow`` (id and ``fp`` of each row), the classes ``found`` of ``fp``, and
+    ``prints``, which adds ``fp`` to rows."""
     gone = narrow.join(small(found), "fp").where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = df.join(small(written(gone, "simhash-gone")), id_col, "left_anti").select(*df.columns)
     odd = narrow.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
@@ -255,7 +260,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     marked = kept.join(small(odd), F.col(id_col).eqNullSafe(F.col("_odd")), "left")
     plain = marked.where(F.col("_odd").isNull() & F.col(id_col).isNotNull()).select(*df.columns)
     rest = marked.where(F.col("_odd").isNotNull() | F.col(id_col).isNull())
-    rest = with_fingerprints(rest.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", drop=("_text",), shingle=shingle)
+    rest = prints(rest.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", drop=("_text",))
     rest = rest.join(small(found), "fp").where(F.col("component_id").isNull() | (F.col("_id") == F.col("component_id")))
     return plain.union(rest.dropDuplicates(["root"]).select("_row.*"))
 
