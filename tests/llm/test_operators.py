@@ -233,6 +233,13 @@ def test_simhash_repeated_and_missing_ids(spark):
     assert simhash_dedup.keep_first(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash_dedup.keep_first, similar_sets.keep_first])
+def test_repeated_ids_with_other_texts(spark, keep):
+    texts = ["a b c d e f", "a b c d e f", "lone one here now and then", "lone one here now and then", "x y z w v u"]
+    rows = keep(docs_of(spark, texts, ids=[3, 5, 5, 5, 7])).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter([(3, texts[0]), (5, texts[2]), (7, texts[4])])
+
+
 def brute_sets(texts):
     words = [SP.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
     return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]

@@ -252,13 +252,14 @@ def first_rows(df: DataFrame, narrow: DataFrame, found: DataFrame, prints: Calla
     """The rows that ``keep_first`` keeps, by ``narrow`` (id and ``fp`` of each row), the classes ``found`` of ``fp``, and
     ``prints``, which adds ``fp`` to rows."""
     gone = narrow.join(small(found), "fp").where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = df.join(small(written(gone, "simhash-gone")), id_col, "left_anti").select(*df.columns)
+    gone = small(written(gone, "simhash-gone"))
     odd = narrow.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
     odd = written(odd.select(F.col(id_col).alias("_odd")), "simhash-odd")
     if odd.isEmpty():
-        return kept
-    marked = kept.join(small(odd), F.col(id_col).eqNullSafe(F.col("_odd")), "left")
-    plain = marked.where(F.col("_odd").isNull() & F.col(id_col).isNotNull()).select(*df.columns)
+        return df.join(gone, id_col, "left_anti").select(*df.columns)
+    # an id that repeats doesn't tell which of its texts goes: its rows are decided by their own fingerprints
+    marked = df.join(small(odd), F.col(id_col).eqNullSafe(F.col("_odd")), "left")
+    plain = marked.where(F.col("_odd").isNull() & F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(*df.columns)
     rest = marked.where(F.col("_odd").isNotNull() | F.col(id_col).isNull())
     rest = prints(rest.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", drop=("_text",))
     rest = rest.join(small(found), "fp").where(F.col("component_id").isNull() | (F.col("_id") == F.col("component_id")))
