@@ -547,6 +547,17 @@ def test_licence_templates_find_themselves():
         assert model.best(" ".join(license_scan.words(sentence)))[0] == name
 
 
+def test_licence_templates_pass_the_filter():
+    model = license_scan.LicenceModel.build({}, 0)
+    for name, sentence in license_scan.templates():
+        for text in (sentence, "Some words before. " + sentence + " " + "and words behind " * 30):
+            header = license_scan.header_of("a.txt", text)
+            assert header is not None, sentence
+        assert model.best(license_scan.header_of("a.txt", sentence)[0])[0] == name
+    for text in ("He studied at MIT for years.", "Wir gehen mit dem Hund.", "The film was released under another name."):
+        assert license_scan.header_of("a.txt", text) is None
+
+
 def test_licence_sentences_of_documents(spark, data):
     rows = license_scan.query(spark, data).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}

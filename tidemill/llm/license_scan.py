@@ -57,7 +57,18 @@ TEXTS = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 FRAMES = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "This program is distributed under the terms of the {}.", "SPDX-License-Identifier: {}")
-_TRIGGER = re.compile(r"licen[sc]|copyright|spdx|public domain|hereby granted|endorse or promote", re.IGNORECASE)
+
+
+def _trigger() -> re.Pattern[str]:
+    """What a licence sentence has: words of notices, a name with a version, or any name behind "under" (plain names such
+    as MIT are words of other texts, too). No template fails it."""
+    spelt = {n: r"\s+".join(map(re.escape, n.split())) for names in NAMES.values() for n in names}
+    versioned = "|".join(s for n, s in spelt.items() if re.search(r"\d", n))
+    named = rf"\b(?:{versioned})\b|\bunder\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{'|'.join(spelt.values())})\b"
+    return re.compile(rf"licen[sc]|copyright|spdx|public domain|hereby granted|endorse or promote|{named}", re.IGNORECASE)
+
+
+_TRIGGER = _trigger()
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n")
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _FILE = re.compile(r"(?:^|/)(?:licen[sc]e|copying|notice|unlicense)[^/]*$", re.IGNORECASE)
