@@ -179,6 +179,12 @@ for _name, _order in (("asc", "ASC NULLS FIRST"), ("asc_nulls_first", "ASC NULLS
         return top.select("p_partkey", F.row_number().over(Window.orderBy(getattr(F, name)("s"), "p_partkey")).alias("place"))
 
 
+    @query(f"rel_sort_whole_{_name}", f"SELECT p_partkey, nullif(p_size, 7) AS s, row_number() OVER (ORDER BY nullif(p_size, 7) {_order}, p_partkey) AS place FROM part")
+    def _(spark, d, name=_name):
+        rows = load(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).alias("s"))
+        return rows.withColumn("place", F.row_number().over(Window.orderBy(getattr(F, name)("s"), "p_partkey"))).orderBy("place")
+
+
 @query("rel_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
