@@ -262,6 +262,13 @@ def _(spark, d):
     return a.join(b, F.col("a.s").eqNullSafe(F.col("b.s"))).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"))
 
 
+@query("join_null_safe_whole", "SELECT a.p_partkey AS x, b.n FROM (SELECT p_partkey, nullif(p_size, 5) AS s FROM part) a JOIN (SELECT nullif(p_size, 5) AS s, count(*) AS n FROM part GROUP BY 1) b ON a.s IS NOT DISTINCT FROM b.s")
+def _(spark, d):
+    p = load(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(5)).alias("s"))
+    a, b = p.alias("a"), p.groupBy("s").agg(F.count("*").alias("n")).alias("b")
+    return a.join(b, F.col("a.s").eqNullSafe(F.col("b.s"))).select(F.col("a.p_partkey").alias("x"), "b.n")
+
+
 @query("join_null_keys", "SELECT a.p_partkey AS x FROM (SELECT p_partkey, nullif(p_size, 5) AS s FROM part) a LEFT JOIN (SELECT DISTINCT nullif(p_size, 5) AS s FROM part) b ON a.s = b.s WHERE b.s IS NULL")
 def _(spark, d):
     p = load(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(5)).alias("s"))
