@@ -619,6 +619,16 @@ def test_language_mixtures(spark, data):
     assert score[3] == 0
 
 
+def test_language_set_has_short_passages_of_long_texts(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(docs)
+    words = {x: " ".join(r.text for r in docs.where(f"lang = '{x}' and n_chars > 3000").limit(20).collect()).split() for x in ("en", "de")}
+    text = " ".join((words["en"] * 10)[:20000] + words["de"][:200])
+    lang, score, shares = language_id.infer(model, [text])
+    assert lang == ["en"] and set(shares[0]) == {"en", "de"}
+    assert 0.97 < score[0] < 1 and shares[0]["de"] < 0.02
+
+
 def test_language_counts_are_whole(spark, odd):
     both = odd.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
     model = language_id.train(both)

@@ -135,7 +135,7 @@ def infer(model: LanguageModel, texts: list[str | None], rounds: int = ROUNDS, p
         every, _ = _mixture(p, n, first, doc, np.full((len(own), k), 1 / k), rounds)
         order = np.argsort(-every, axis=1, kind="stable")
         place = np.argsort(order, axis=1, kind="stable")
-        live = every.max(axis=1) < 0.98  # others have nothing that a further language could gain from
+        live = base - top > gain  # no mixture is likelier than base, where each n-gram has its likeliest language
         for number in range(2, k + 1):
             if not live.any():
                 break
@@ -154,7 +154,7 @@ def infer(model: LanguageModel, texts: list[str | None], rounds: int = ROUNDS, p
     for j, i in enumerate(own):
         out[i] = model.languages[leader[j]]
         score[i] = min(1.0, proportion[j, leader[j]])
-        shares[i] = {model.languages[x]: float(proportion[j, x]) for x in np.flatnonzero(proportion[j] > 0.01)}
+        shares[i] = {model.languages[x]: float(proportion[j, x]) for x in np.flatnonzero(proportion[j])}
     return out, score, shares
 
 
