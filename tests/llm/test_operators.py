@@ -93,6 +93,88 @@ def test_quality_keeps_clean_and_drops_junk(spark, data):
     assert kept.count() == quality_rules.assess(docs).where("kept").count()
 
 
+def test_quality_verdict_tells_junk_that_the_base_rule_passes(spark, data):
+    base = data.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{base}/labels.parquet").withColumnRenamed("quality", "label")
+    rows = quality_rules.query(spark, base).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.label == x] for x in (1, 0))
+    assert len(bad) > 20 and len(good) > 200
+    assert sum(good) >= 0.97 * len(good)
+    assert sum(bad) <= 0.1 * len(bad)
+
+
+def brute_quality(patterns, counts, rules):
+    """The families' expectation-maximisation by plain loops over documents' patterns; quality of each pattern."""
+    import math
+
+    out = [1.0] * len(patterns)
+    (a_bad, a_none), trust = quality_rules.ANCHOR, quality_rules.TRUST
+    for family in dict.fromkeys(r.family for r in rules):
+        own = [i for i, r in enumerate(rules) if r.family == family]
+        objects = {i: {n for n, p in enumerate(patterns) if p[i] < 0} for i in own}
+        mass = lambda found: sum(counts[n] for n in found)
+        weight = {}
+        for i in own:
+            either = [mass(objects[i] | objects[j]) for j in own]
+            weight[i] = 1 / sum(i == j or e > 0 and mass(objects[i] & objects[j]) / e >= quality_rules.TWINS for j, e in zip(own, either))
+        sound = [0.1 if any(p[i] < 0 for i in own) else 0.9 for p in patterns]
+        for _ in range(2000):
+            rate = {}
+            for i in own:
+                for kind, belief in ((0, a_bad), (1, a_none)):
+                    share = [c * (s if kind else 1 - s) for c, s in zip(counts, sound)]
+                    n = sum(x for x, p in zip(share, patterns) if p[i] < 0)
+                    of = sum(x for x, p in zip(share, patterns) if p[i])
+                    rate[i, kind] = (1 - trust) * (n + belief) / (of + 1) + trust * belief
+                if rate[i, 0] < rate[i, 1]:
+                    n, of = (sum(c for c, p in zip(counts, patterns) if f(p[i])) for f in (lambda v: v < 0, lambda v: v != 0))
+                    rate[i, 0] = rate[i, 1] = (n + 0.5) / (of + 1)
+            prior = (sum(c * s for c, s in zip(counts, sound)) + 1) / (sum(counts) + 2)
+            new = []
+            for p in patterns:
+                odds = math.log(prior / (1 - prior))
+                for i in own:
+                    if p[i] < 0:
+                        odds += weight[i] * math.log(rate[i, 1] / rate[i, 0])
+                    elif p[i] > 0:
+                        odds += weight[i] * math.log((1 - rate[i, 1]) / (1 - rate[i, 0]))
+                new.append(1 / (1 + math.exp(-odds)))
+            moved, sound = max(abs(x - y) for x, y in zip(new, sound)), new
+            if moved < 1e-9:
+                break
+        out = [x * y for x, y in zip(out, sound)]
+    return out
+
+
+def test_quality_model_by_plain_loops(spark):
+    rng = random.Random(12)
+    rules = quality_rules.RULES
+    patterns = sorted({tuple(rng.choice((-1, 0, 1, 1, 1)) for _ in rules) for _ in range(40)})
+    counts = [rng.randint(1, 300) for _ in patterns]
+    model = quality_rules.fit(np.array(patterns), np.array(counts, dtype=float))
+    want = brute_quality(patterns, counts, rules)
+    assert np.allclose(model.probability(np.array(patterns)), want, atol=1e-6)
+    df = spark.createDataFrame([(n, *map(int, p)) for n, p in enumerate(patterns)], ["n", *[f"vote_{r.name}" for r in rules]])
+    got = {r.n: r.q for r in df.select("n", model.quality(rules).alias("q")).collect()}
+    assert np.allclose([got[n] for n in range(len(patterns))], want, atol=1e-6)
+
+
+def test_quality_rules_that_repeat_each_other_share_a_weight():
+    votes = np.array([[-1, -1, 1], [1, 1, -1], [1, 1, 1]])
+    assert quality_rules.twin_weights(votes, np.array([10.0, 5.0, 100.0])).tolist() == [0.5, 0.5, 1.0]
+
+
+def test_quality_columns_that_clash(spark):
+    docs = docs_of(spark, ODD + [" ".join(f"w{i}" for i in range(90))])
+    for name in ("vote_upper_share", "n_words", "kept", "quality", "base_failed", "row", "body", "_1"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert len(ODD) in {r.doc_id for r in rows} and {r.vote_upper_share for r in rows} == {r.kept for r in rows} == {"mine"}
+    assert quality_rules.assess(docs).count() == len(ODD) + 1
+
+
 def test_quality_empty(spark):
     empty = docs_of(spark, [])
     assert quality_rules.assess(empty).count() == 0

@@ -44,7 +44,7 @@ BINS = 4
 
 
 def rates(text: str | None) -> tuple[float, ...]:
-    n, chars, symbols, dup, repeats, lines, upper, bangs, twins = text_counts(text)
+    n, chars, symbols, dup, repeats, lines, upper, bangs, twins = text_counts(text)[:9]
     w = max(n, 1)
     return (symbols / w, upper / max(chars, 1), bangs / w, dup / max(lines, 1), repeats / w, twins / w, chars / w, n)
 

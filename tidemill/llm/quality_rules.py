@@ -1,18 +1,27 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how far each can be
 trusted, and the posterior probability of quality decides.
 
+Rules belong to families of defects (noise, shape, shouting, repetition). Junk of one kind tells nothing of another, so each
+family has a latent defect of its own with its own expectation-maximisation, and a document's quality is the product of
+its families' probabilities of no defect. Abstentions are no evidence. Rules of a family whose bad votes fall on nearly
+the same documents share one rule's weight. Estimates are anchored: a prior belief (``ANCHOR``) that weighs
+``TRUST`` of every estimate settles what votes leave open, as they do in a family of one rule; and a bad vote is at
+least as likely with the defect as without it (a rule that comes out worse is pooled, and then tells nothing).
+
 Plan: one Arrow pass computes a few counts per text; a partial aggregation counts vote patterns (at most ``3 ** rules``
-rows, whatever the input's size); the two-class model is fitted on those pattern counts, which hold all documents; the
-posterior is a sum of log-ratios, evaluated by Spark. Nothing is shuffled but pattern counts.
+rows, whatever the input's size); the model is fitted on those pattern counts, which hold all documents; the posterior
+is evaluated by Spark. Nothing is shuffled but pattern counts. ``keep_good`` reads the texts once: rows and counts are
+a written table, of which the fit reads the counts only.
 
 Defined results: null text counts as empty; an empty text has zero words and fails the base rule; repeated rows and
-ties get the same verdict; an empty table gives no rows; extra columns pass through, and columns whose names clash with
-the computed ones are replaced.
+ties get the same verdict; an empty table gives no rows; a very long text is a block of its own, of whose words one
+list is held; extra columns pass through ``keep_good`` whatever their names, and in ``assess`` take no part.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,17 +36,20 @@ from ._common import append_columns, written
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_twins")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_twins", "n_symbol_words")
+_SYMBOL_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r#*$%&|<>]*[#*$%&|<>][^ \t\n\x0b\x0c\r]*")
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
     """The counts of :data:`COUNTS` for one whole text. Words are runs without ASCII white space; ``n_upper`` counts
-    A-Z, ``n_bangs`` words that end in ``!!`` and ``n_twins`` words equal to the word before."""
+    A-Z, ``n_bangs`` words that end in ``!!``, ``n_twins`` words equal to the word before and ``n_symbol_words`` words
+    with a symbol."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     n = len(words)
     lines = [x for x in data.split(b"\n") if x.strip()]
+    symbols = len(data) - len(data.translate(None, SYMBOLS))
     repeats = 0
     if n >= 4:
         windows = list(zip(words, words[1:], words[2:]))
@@ -51,13 +63,14 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     return (
         n,
         len(text) - (len(data) - len(data.translate(None, SPACES))),
-        len(data) - len(data.translate(None, SYMBOLS)),
+        symbols,
         len(lines) - len(set(lines)),
         repeats,
         len(lines),
         len(data) - len(data.translate(None, UPPER)),
         sum(1 for w in words if w.endswith(b"!!")) if b"!!" in data else 0,
         sum(map(bytes.__eq__, words, words[1:])),
+        len(_SYMBOL_WORD.findall(data)) if symbols else 0,
     )
 
 
@@ -72,23 +85,30 @@ def with_counts(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad at or above ``bad``, good at or below ``good``, and abstains between, on ``value(per)``."""
+    """Votes bad at or above ``bad``, good at or below ``good``, and abstains between, on ``value`` (SQL over counts).
+    ``family``: the kind of defect that it looks for."""
 
     name: str
     value: str
     good: float
     bad: float
+    family: str
 
 
 RULES = (
-    Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", 0.05, 0.15),
-    Rule("upper_share", "n_upper / greatest(word_chars, 1)", 0.08, 0.2),
-    Rule("shouted_words", "n_bangs / greatest(n_words, 1)", 0.02, 0.1),
-    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.5),
-    Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", 0.1, 0.4),
-    Rule("twin_words", "n_twins / greatest(n_words, 1)", 0.05, 0.2),
-    Rule("word_length", "abs(word_chars / greatest(n_words, 1) - 6)", 4, 9),
+    Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", 0.05, 0.15, "noise"),
+    Rule("symbol_words", "n_symbol_words / greatest(n_words, 1)", 0.02, 0.1, "noise"),
+    Rule("word_length", "abs(word_chars / greatest(n_words, 1) - 6)", 4, 9, "shape"),
+    Rule("upper_share", "n_upper / greatest(word_chars, 1)", 0.08, 0.2, "shouting"),
+    Rule("shouted_words", "n_bangs / greatest(n_words, 1)", 0.02, 0.1, "shouting"),
+    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.5, "repetition"),
+    Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", 0.1, 0.4, "repetition"),
+    Rule("twin_words", "n_twins / greatest(n_words, 1)", 0.05, 0.2, "repetition"),
 )
+#: Rules of a family whose bad votes overlap by this much (Jaccard) repeat each other.
+TWINS = 0.8
+#: Before any votes: P(bad vote | defect) and P(bad vote | none), and the weight of this belief in every estimate.
+ANCHOR, TRUST = (0.8, 0.01), 0.2
 
 
 def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
@@ -101,57 +121,111 @@ def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
     return out
 
 
+@dataclass(frozen=True)
+class FamilyModel:
+    """``sound``: share of documents without the defect. Of each rule (by its place in the list): P(bad vote | defect),
+    P(bad vote | none), both of documents on which it votes, and its weight."""
+
+    sound: float
+    rules: tuple[int, ...]
+    bad: tuple[float, ...]
+    good: tuple[float, ...]
+    weight: tuple[float, ...]
+
+    def ratios(self) -> list[tuple[int, float, float]]:
+        """(rule, what its bad vote adds to the log-odds of no defect, what its good vote adds)."""
+        rows = zip(self.rules, self.bad, self.good, self.weight)
+        return [(i, w * math.log(g / b), w * math.log((1 - g) / (1 - b))) for i, b, g, w in rows]
+
+    def probability(self, vote: np.ndarray) -> np.ndarray:
+        """P(no defect) of patterns."""
+        z = np.full(len(vote), math.log(self.sound / (1 - self.sound)))
+        for i, bad, good in self.ratios():
+            z += np.where(vote[:, i] < 0, bad, np.where(vote[:, i] > 0, good, 0.0))
+        return 1 / (1 + np.exp(np.clip(-z, -500, 500)))
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    """``prior``: share of good documents; ``table[r][v + 1]``: (P(vote | bad), P(vote | good)) of rule r."""
-
-    prior: float
-    table: tuple[tuple[tuple[float, float], ...], ...]
-
-    def logit(self, rules: tuple[Rule, ...] = RULES) -> Column:
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for r, rows in zip(rules, self.table):
-            v = F.col(f"vote_{r.name}")
-            ratio = [math.log(good / bad) for bad, good in rows]
-            total = total + F.when(v < 0, ratio[0]).when(v > 0, ratio[2]).otherwise(ratio[1])
-        return total
-
-
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 0.5) -> VoteModel:
-    """Two-class expectation-maximisation over vote patterns (rows of -1, 0, 1) with their counts. It starts from
-    "good unless any rule objects", so class 1 is the one that rules approve of."""
-    k = patterns.shape[1]
-    if not len(patterns) or counts.sum() == 0:
-        return VoteModel(0.5, tuple(((0.6, 0.2), (0.2, 0.2), (0.2, 0.6)) for _ in range(k)))
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
-    good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
-    for _ in range(rounds):
-        w = np.stack([(1 - good) * counts, good * counts])  # class, pattern
-        prior = (w[1].sum() + smooth) / (counts.sum() + 2 * smooth)
-        table = np.einsum("cp,prv->crv", w, hot) + smooth
-        table /= table.sum(axis=2, keepdims=True)
-        log = np.einsum("prv,crv->cp", hot, np.log(table))
-        new = 1 / (1 + np.exp(np.clip(math.log((1 - prior) / prior) + log[0] - log[1], -500, 500)))
-        moved, good = np.abs(new - good).max(), new
+    families: tuple[FamilyModel, ...]
+
+    def probability(self, vote: np.ndarray) -> np.ndarray:
+        out = np.ones(len(vote))
+        for f in self.families:
+            out *= f.probability(vote)
+        return out
+
+    def quality(self, rules: tuple[Rule, ...] = RULES) -> Column:
+        out = F.lit(1.0)
+        for f in self.families:
+            z = F.lit(math.log(f.sound / (1 - f.sound)))
+            for i, bad, good in f.ratios():
+                v = F.col(f"vote_{rules[i].name}")
+                z = z + F.when(v < 0, bad).when(v > 0, good).otherwise(0.0)
+            out = out * (1 / (1 + F.exp(-z)))
+        return out
+
+
+def twin_weights(vote: np.ndarray, counts: np.ndarray, least: float = TWINS) -> np.ndarray:
+    """One over the number of rules, itself included, whose bad votes are nearly those of each rule."""
+    bad = (vote < 0).astype(float)
+    both = (bad * counts[:, None]).T @ bad
+    own = np.diag(both)
+    either = own[:, None] + own[None, :] - both
+    same = np.where(either > 0, both / np.maximum(either, 1e-300), 0.0) >= least
+    np.fill_diagonal(same, True)
+    return 1 / same.sum(axis=1)
+
+
+def fit_family(vote: np.ndarray, counts: np.ndarray, places: tuple[int, ...], rounds: int = 2000) -> FamilyModel:
+    """Expectation-maximisation of one family: ``vote`` has a row for each pattern and a column for each of its rules.
+    It starts from "no defect unless a rule objects"."""
+    k = vote.shape[1]
+    said_bad, said_good = (vote < 0).astype(float), (vote > 0).astype(float)
+    weight = twin_weights(vote, counts)
+    sound = np.where((vote < 0).any(axis=1), 0.1, 0.9)
+    model = FamilyModel(0.9, places, (ANCHOR[0],) * k, (ANCHOR[1],) * k, tuple(map(float, weight)))
+    for _ in range(rounds if counts.sum() else 0):
+        votes_of = [(w @ said_bad, w @ (said_bad + said_good)) for w in ((1 - sound) * counts, sound * counts)]
+        bad, good = ((1 - TRUST) * (n + a) / (of + 1) + TRUST * a for (n, of), a in zip(votes_of, ANCHOR))
+        worse = bad < good  # than chance: pooled
+        pooled = (votes_of[0][0] + votes_of[1][0] + 0.5) / (votes_of[0][1] + votes_of[1][1] + 1)
+        bad, good = np.where(worse, pooled, bad), np.where(worse, pooled, good)
+        share = float((sound @ counts + 1) / (counts.sum() + 2))
+        model = FamilyModel(share, places, tuple(map(float, bad)), tuple(map(float, good)), model.weight)
+        local = FamilyModel(share, tuple(range(k)), model.bad, model.good, model.weight)
+        new = local.probability(vote)
+        moved, sound = np.abs(new - sound).max(), new
         if moved < 1e-9:
             break
-    return VoteModel(float(prior), tuple(tuple((float(table[0, r, v]), float(table[1, r, v])) for v in range(3)) for r in range(k)))
+    return model
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rules: tuple[Rule, ...] = RULES, rounds: int = 2000) -> VoteModel:
+    """The model of vote patterns (rows of -1, 0, 1, a column for each rule) with their counts."""
+    out = []
+    for family in dict.fromkeys(r.family for r in rules):
+        places = tuple(i for i, r in enumerate(rules) if r.family == family)
+        own = np.asarray(patterns, dtype=int).reshape(len(counts), len(rules))[:, list(places)]
+        seen, back = np.unique(own, axis=0, return_inverse=True)
+        summed = np.bincount(back.reshape(-1), weights=counts, minlength=len(seen)) if len(seen) else np.zeros(0)
+        out.append(fit_family(seen, summed, places, rounds))
+    return VoteModel(tuple(out))
 
 
 def fit_votes(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> VoteModel:
     """The model of all rows of ``counted`` (with :data:`COUNTS`); the driver gets one row per vote pattern."""
     names = [f"vote_{r.name}" for r in rules]
-    rows = counted.where("n_words > 0").select(*votes(rules)).groupBy(*names).count().collect()
+    rows = counted.where("n_words > 0").select(*votes(rules)).groupBy(*names).agg(F.count("*").alias("_n")).collect()
     rows.sort(key=lambda r: tuple(r[:-1]))
-    return fit(np.array([r[:-1] for r in rows], dtype=int).reshape(len(rows), len(names)), np.array([r[-1] for r in rows], dtype=float))
+    return fit(np.array([r[:-1] for r in rows], dtype=int).reshape(len(rows), len(names)), np.array([r[-1] for r in rows], dtype=float), rules)
 
 
 def judged(counted: DataFrame, model: VoteModel, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """``counted`` with votes, ``quality`` (posterior), ``base_failed`` and ``kept``."""
-    out = counted.select("*", *votes(rules))
-    quality = 1 / (1 + F.exp(-model.logit(rules)))
+    """``counted`` with votes, ``quality`` (posterior), ``base_failed`` and ``kept``; columns of those names go."""
+    out = counted.drop(*[f"vote_{r.name}" for r in rules]).select("*", *votes(rules))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumns({"quality": quality, "base_failed": failed}).withColumn(
+    return out.withColumns({"quality": model.quality(rules), "base_failed": failed}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= threshold)
     )
 
@@ -164,11 +238,11 @@ def assess(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass, with its columns as they were."""
-    counts = with_counts(df.select(text), text, drop=(text,))
-    model = fit_votes(counts)
     names = df.columns
-    inner = df.select(F.struct(*names).alias("row"), F.col(text).alias("body"))
-    return judged(with_counts(inner, "body", drop=("body",)), model).where("kept").select("row.*")
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    counted = written(with_counts(plain, f"_{names.index(text)}"), "quality-rows")
+    kept = judged(counted, fit_votes(counted)).where("kept")
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
