@@ -245,6 +245,16 @@ def test_redaction(spark):
     assert all(not brute_base(t) for i, t in rows.items() if i != 7)
 
 
+def test_redaction_of_long_tokens_and_clashing_names(spark):
+    df = docs_of(spark, ["ghp_" + "g" * 400 + " end"]).withColumn("_clean", F.lit("mine")).withColumn("clean", F.lit("mine")).withColumn("secrets", F.lit("mine")).withColumn("_1", F.lit("mine"))
+    out = secret_scan.redact(df)
+    assert out.columns == df.columns
+    row = out.first()
+    assert row.text == "[SECRET] end" and row._clean == row.clean == row.secrets == row["_1"] == "mine"
+    assert secret_scan.digest(secret_scan.scan(df)).first().spans == "github:0:404"
+    assert secret_scan.redact(df.limit(0)).count() == 0 and secret_scan.digest(secret_scan.scan(df.limit(0))).count() == 0
+
+
 # ------------------------------------------------------------------ simhash
 
 
@@ -570,17 +580,29 @@ def test_mix_takes_prefixes_exactly(spark, data):
 def test_mix_odd_rows(spark):
     df = docs_of(spark, ["a b c"] * 6 + [None, ""], langs=["en", None, "en", "en", "de", "de", "en", "en"], sources=["src0", "src0", None, "odd", "src1", "src1", "src2", "src3"], ids=[1, 2, 3, 4, 5, 5, None, 8]).withColumn("tokens", F.lit(1)).withColumn("domain", F.lit("clash"))
     half = source_mix.Mixture({}, share=0.5)
-    out = source_mix.mixed(df, half, source_mix.domain_of("_3"))
+    out = source_mix.mixed(df, half, source_mix.domain_of())
     assert out.columns == df.columns
     assert 0 < out.count() < 8
     assert source_mix.copies_of(df, half, source_mix.domain_of()).count() == out.count()
-    twice = source_mix.mixed(df, source_mix.Mixture({}, share=2.0, max_epochs=2), source_mix.domain_of("_3"))
+    twice = source_mix.mixed(df, source_mix.Mixture({}, share=2.0, max_epochs=2), source_mix.domain_of())
     assert twice.count() == 12
-    assert source_mix.mixed(df.limit(0), half, source_mix.domain_of("_3")).count() == 0
+    assert source_mix.mixed(df.limit(0), half, source_mix.domain_of()).count() == 0
     with pytest.raises(ValueError):
         source_mix.Mixture({"a": 0})
 
 
+def test_mix_columns_that_clash(spark):
+    df = docs_of(spark, ["a b c"] * 6)
+    for name in ("epochs", "last", "last_take", "key", "h", "need", "bucket", "n_tokens", "_row", "some", "copies", "cap"):
+        df = df.withColumn(name, F.lit("mine"))
+    half = source_mix.Mixture({}, share=0.5)
+    out = source_mix.mixed(df, half, source_mix.domain_of())
+    assert out.columns == df.columns and {r.last for r in out.collect()} == {"mine"}
+    found = source_mix.copies_of(df, half, source_mix.domain_of(), drop=("text",)).collect()
+    assert {r.epochs for r in found} == {"mine"} and {r.n_tokens for r in found} == {3}
+    assert len(found) == out.count()
+
+
 def test_mix_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")

@@ -45,7 +45,7 @@ RULES = (
     SecretRule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True, True),
     SecretRule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
     SecretRule("hex", r"[0-9a-f]{24,}", 24, 0, True),
-    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
+    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -165,8 +165,11 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RU
         found = scanner(rules).scan(texts)
         return [pa.array([redacted(t, s, mark) for t, s in zip(texts, found)], pa.string())]
 
-    clean = append_columns(df, text, [T.StructField("_clean", T.StringType())], compute, drop=(text,) if df.columns != [text] else ())
-    return clean.select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in df.columns])
+    names = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])  # no column of df has the name of the new one
+    body = f"_{names.index(text)}"
+    clean = append_columns(plain, body, [T.StructField("clean", T.StringType())], compute, drop=(body,))
+    return clean.select(*[F.col("clean" if c == text else f"_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:

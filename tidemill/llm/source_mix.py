@@ -13,7 +13,8 @@ large, is gathered.
 
 Defined results: null language or source is the node ``unknown``; null text has no tokens; a null id counts as the
 empty string; rows that share an id share their hash, so they are taken together; a leaf without tokens takes none; an
-empty table gives no rows; extra columns pass through ``copies_of``, clashing names are replaced.
+empty table gives no rows; very long texts are counted by Spark like any other; extra columns pass through, whatever
+their names, but for those of :data:`OUT` in ``copies_of``, which are replaced.
 """
 
 from __future__ import annotations
@@ -79,17 +80,18 @@ def _shared(nodes: DataFrame, level: int) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, mix: Mixture) -> DataFrame:
-    """``leaves`` (path, ``tokens``) with ``budget``. Tiny tables: a row for each node."""
-    cap = (F.col("tokens") * mix.max_epochs).cast("decimal(20,0)")
-    sized = leaves.withColumn("cap", cap)
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(mix.share)).cast("decimal(20,0)").alias("budget"))
-    above = total
+    """``leaves`` (path, ``tokens``) with ``budget``. Small tables: a row for each node."""
+    sized = leaves.withColumn("cap", (F.col("tokens") * mix.max_epochs).cast("decimal(20,0)"))
+    above = None
     for level in range(len(LEVELS)):
         path = list(LEVELS[: level + 1])
-        nodes = sized.groupBy(*path).agg(F.sum("cap").cast("decimal(20,0)").alias("cap"))
-        up = small(above.select(*path[:-1], "budget"))
-        nodes = nodes.join(up, path[:-1]) if level else nodes.join(up, F.lit(True))  # the total is one row
-        above = written(_shared(nodes.withColumn("weight", _weight(mix, level)), level), "mix-budgets")
+        nodes = sized.groupBy(*path).agg(F.sum("cap").cast("decimal(20,0)").alias("cap"), F.sum("tokens").alias("own"))
+        if above is None:
+            whole = F.sum("own").over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("budget", F.floor(whole * F.lit(mix.share)).cast("decimal(20,0)"))
+        else:
+            nodes = nodes.join(small(above.select(*path[:-1], "budget")), path[:-1])
+        above = _shared(nodes.withColumn("weight", _weight(mix, level)), level)
     return leaves.join(small(above.select(*LEVELS, F.col("budget").cast("long"))), list(LEVELS))
 
 
@@ -122,7 +124,7 @@ def plan(narrow: DataFrame, mix: Mixture, digits: int = 4) -> DataFrame:
     w = Window.partitionBy(*LEVELS).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     ended = tied.withColumn("upto", F.sum("n").over(w)).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
     ended = ended.select(*LEVELS, F.col("h").alias("last"), (F.col("need") - F.col("upto") + F.col("n")).alias("last_take"))
-    return written(got.join(small(written(ended, "mix-last")), list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", "last", "last_take"), "mix-plan")
+    return written(got.join(small(ended), list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", "last", "last_take"), "mix-plan")
 
 
 def _described(df: DataFrame, domain: Column, id_col: str, text: str, lang: str, source: str) -> dict[str, Column]:
@@ -135,33 +137,38 @@ def _described(df: DataFrame, domain: Column, id_col: str, text: str, lang: str,
     }
 
 
-def copies_of(df: DataFrame, mix: Mixture, domain: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``df`` that are taken, with their path, ``n_tokens``, ``copies`` and ``taken`` tokens in all."""
-    new = _described(df, domain, id_col, text, lang, source)
-    narrow = written(df.select(*[v.alias(k) for k, v in new.items()]), "mix-narrow")
-    taken = _decided(plan(narrow, mix), df.select("*", *[v.alias(k) for k, v in new.items()]) if not set(new) & set(df.columns) else df.withColumns(new), mix)
-    return taken.where("copies > 0")
+OUT = ("domain", "language", "origin", "n_tokens", "copies", "taken")
+
+
+def copies_of(df: DataFrame, mix: Mixture, domain: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", drop: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` that are taken, without the columns of ``drop``, with their path, ``n_tokens``, ``copies`` and
+    ``taken`` tokens in all. Texts are read once if ``drop`` has them, else twice."""
+    new = [v.alias(k) for k, v in _described(df, domain, id_col, text, lang, source).items()]
+    held = df.select(F.struct(*[c for c in df.columns if c not in OUT and c not in drop]).alias("_row"), *new)
+    narrow = written(held if text in drop else held.drop("_row"), "mix-narrow")
+    copies, more, x = _decided(plan(narrow.drop("_row"), mix), narrow if text in drop else held, mix, F.col("n_tokens") > 0)
+    last = F.when(_hash(mix) == F.col("last"), F.least(F.col("n_tokens"), F.col("last_take"))).otherwise(F.col("n_tokens"))
+    taken = F.col("epochs") * F.col("n_tokens") + F.when(more, last).otherwise(F.lit(0))
+    return x.withColumns({"copies": copies, "taken": taken}).where("copies > 0").select("_row.*", *OUT)
 
 
-def _decided(leaf_plan: DataFrame, rows: DataFrame, mix: Mixture) -> DataFrame:
+def _decided(leaf_plan: DataFrame, rows: DataFrame, mix: Mixture, some: Column) -> tuple[Column, Column, DataFrame]:
+    """(how often a row is taken, whether in the last epoch, ``rows`` with their leaf's plan). ``some``: it has tokens."""
     x = rows.join(small(leaf_plan.drop("tokens", "budget")), list(LEVELS))
-    h = _hash(mix)
-    more = F.coalesce(h <= F.col("last"), F.lit(False)) & (F.col("n_tokens") > 0)
-    last = F.when(h == F.col("last"), F.least(F.col("n_tokens"), F.col("last_take"))).otherwise(F.col("n_tokens"))
-    return x.withColumns(
-        {
-            "copies": F.col("epochs") + more.cast("int"),
-            "taken": F.col("epochs") * F.col("n_tokens") + F.when(more, last).otherwise(F.lit(0)),
-        }
-    ).drop("epochs", "last", "last_take", "key")
+    more = F.coalesce(_hash(mix) <= F.col("last"), F.lit(False)) & some
+    return F.col("epochs") + more.cast("int"), more, x
 
 
-def mixed(df: DataFrame, mix: Mixture, domain: Column, **names: str) -> DataFrame:
+def mixed(df: DataFrame, mix: Mixture, domain: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``df``, its columns as they were, with each row as often as it is taken; whole documents."""
-    held = df.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_{i}") for i, c in enumerate((names.get("id_col", "doc_id"), names.get("text", "text"), names.get("lang", "lang"), names.get("source", "source")))])
-    got = copies_of(held, mix, domain, "_0", "_1", "_2", "_3")
+    new = _described(df, domain, id_col, text, lang, source)
+    narrow = written(df.select(*[v.alias(k) for k, v in new.items()]), "mix-narrow")
+    some = F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("some")  # ends at the first word
+    rows = df.select(F.struct(*df.columns).alias("_row"), some, *[v.alias(k) for k, v in new.items() if k != "n_tokens"])
+    copies, _, x = _decided(plan(narrow, mix), rows, mix, F.col("some"))
+    got = x.withColumn("copies", copies).where("copies > 0")
     if mix.max_epochs > 1:
-        got = got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        got = got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return got.select("_row.*")
 
 
@@ -187,7 +194,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     from ._common import documents
 
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return copies_of(docs, MIX, domain_of()).select("doc_id", "domain", "language", F.col("origin").alias("source"), "n_tokens", "copies", "taken")
+    return copies_of(docs, MIX, domain_of(), drop=("text",)).select("doc_id", "domain", "language", F.col("origin").alias("source"), "n_tokens", "copies", "taken")
 
 
 def sql(mix: Mixture = MIX, documents: str = "documents") -> str:
