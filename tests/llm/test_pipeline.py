@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from test_operators import SP, brute_budgets, brute_components, brute_print, docs_of
+from test_operators import SP, brute_budgets, brute_similar, docs_of
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -31,7 +31,7 @@ def test_stages_by_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = {r.doc_id for r in quality_rules.assess(docs).where("kept").collect()}
     rows = sorted((r for r in docs.collect() if r.doc_id in kept), key=lambda r: r.doc_id)
-    roots = brute_components([brute_print(r.text) for r in rows])
+    roots = brute_similar([r.text for r in rows])
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
     scanner = secret_scan.Scanner()
     clean = {r.doc_id: secret_scan.redacted(r.text, scanner.scan([r.text])[0]) for r in rows}
@@ -72,8 +72,6 @@ def test_stages_keep_columns_and_take_odd_rows(spark, data):
 
 def test_near_duplicates_by_similarity(spark, data):
     """Edited copies that differ in more than three bits of a fingerprint go, too."""
-    from test_operators import brute_similar
-
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     roots = brute_similar([r.text for r in rows])
