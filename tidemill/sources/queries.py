@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..tables import load, views
+from ..tables import load, shared_dir, views
 
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
 
 def place(spark, label: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemill-shared")
-    return f"{shared}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 for _format, _write, _read in (

@@ -1,13 +1,11 @@
 """Streams over ``events``: windows, watermarks, deduplication, joins and state, each run to the end of its input.
 
-A file stream reads the table in micro-batches; ``availableNow`` ends it. Results go to a memory or batch sink, from
-which the registered query reads them.
+A file stream reads the table in micro-batches; ``availableNow`` ends it. Results go to Parquet files in the shared
+folder, never to the driver, and the registered query reads them.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..tables import load
+from ..tables import load, shared_dir
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,22 +28,25 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def checkpoint(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemill-shared")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs ``stream`` until its input is used up and returns what it wrote. Append results go to Parquet files, exactly
-    once; complete and update ones, which are small aggregates, to memory."""
+    """Runs ``stream`` until its input is used up and returns what it wrote, exactly once: append results go to a file
+    sink; of complete and update ones each batch has a folder, which a batch that is run again writes anew. A complete
+    result is the last batch's, an update result all batches'."""
     spark = stream.sparkSession
     at = checkpoint(spark)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/rows")
-    name = f"stream_{uuid.uuid4().hex}"
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows/batch=-1")
+    writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/rows/batch={i}")).start().awaitTermination()
+    rows = spark.read.option("basePath", f"{at}/rows").parquet(f"{at}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
@@ -131,3 +132,41 @@ def _(spark, d):
     out = checkpoint(spark)
     batches(events(spark, d).select("event_id"), lambda df, i: df.write.mode("append").parquet(out))
     return spark.read.parquet(out).agg(F.count("*").alias("n"))
+
+
+def dropped_off(spark: SparkSession, folder: str, late: str) -> DataFrame:
+    """``events`` as a stream of three files in the order of time, one a batch; rows that meet ``late`` come with the last."""
+    at = checkpoint(spark)
+    rows = load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = F.expr(f"ts >= TIMESTAMP '2024-01-20' OR ({late})")
+    first = F.expr("ts < TIMESTAMP '2024-01-10'") & ~last
+    for part in (first, ~first & ~last, last):
+        rows.where(part).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+#: Rows of the first days that arrive with the last file, when the watermark has passed them.
+_LATE = "ts < TIMESTAMP '2024-01-05' AND event_id % 3 = 0"
+_ON_TIME = f"SELECT * FROM events WHERE NOT ({_LATE})"
+
+
+@query("stream_late_rows", f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM ({_ON_TIME}) GROUP BY 1
+HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def _(spark, d):
+    """Three batches: windows close as the watermark passes, and rows behind it are dropped."""
+    counts = dropped_off(spark, d, _LATE).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    return finished(counts).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("stream_dedup_evicts", f"SELECT event_id FROM ({_ON_TIME})")
+def _(spark, d):
+    """Each row twice, in three batches: copies go, state behind the watermark is evicted, late rows are dropped."""
+    twice = dropped_off(spark, d, _LATE).withColumn("i", F.explode(F.array(F.lit(1), F.lit(2))))
+    return finished(twice.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
+
+
+@query("stream_update_batches", "SELECT event_type, count(*) AS n, 3 AS batches FROM events GROUP BY 1")
+def _(spark, d):
+    """Update mode over three batches: each writes the groups that it changed; the largest count is the last."""
+    counts = dropped_off(spark, d, "false").groupBy("event_type").agg(F.count("*").alias("n"))
+    return finished(counts, "update").groupBy("event_type").agg(F.max("n").alias("n"), F.count("*").cast("int").alias("batches"))
