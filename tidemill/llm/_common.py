@@ -3,8 +3,7 @@ byte-bounded Arrow blocks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import shared_dir
+
 #: Most bytes of text that a Python worker holds as one block (a single longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
 #: Largest estimated size of a table that is sent to every executor; larger ones are joined by a shuffle.
@@ -23,20 +24,48 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset
-    (a single machine, as in tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemill-shared")
+#: Tables that ``written`` made and nothing has deleted yet.
+_made: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and read again after executors are lost."""
+    """``df`` as a Parquet table in the shared folder: computed once, and read again after executors are lost. It is
+    deleted when the ``scratch`` it was made in ends, or with the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    try:
+        _delete(_made)
+    except Exception:  # the session has ended before: its owner clears the folder
+        pass
+
+
+def scratch(spark: SparkSession, make: Callable[[], DataFrame], label: str, lazy: bool = False) -> DataFrame:
+    """What ``make`` gives, as a written table; the tables that ``make`` wrote on its way are deleted. With ``lazy``, a
+    result that needed no such table is returned as it is."""
+    mark = len(_made)
+    result = make()
+    made = _made[mark:]
+    if lazy and not made:
+        return result
+    result = written(result, label)
+    del _made[mark : mark + len(made)]
+    _delete(made)
+    return result
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 

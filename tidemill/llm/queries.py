@@ -18,8 +18,9 @@ from . import (
     source_mix,
     token_counts,
 )
+from ._common import scratch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": source_mix.query,
     "op2_secret_scan": secret_scan.query,
     "op3_simhash_dedup": simhash_dedup.query,
@@ -32,4 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": language_id.query,
 }
 
+
+def _ended(name: str, query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, whose tables on the way are deleted when it ends."""
+    return lambda spark, sf_dir: scratch(spark, lambda: query(spark, sf_dir), name, lazy=True)
+
+
+QUERIES = {name: _ended(name, query) for name, query in _OPERATORS.items()}
+
 ORACLE_SQL: dict[str, str] = {"op1_source_mix": source_mix.sql(), "op4_exact_topk": exact_topk.SQL}

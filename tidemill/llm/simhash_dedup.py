@@ -248,6 +248,14 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     return first_rows(df, narrow, classes(narrow, id_col), lambda rows, column, drop: with_fingerprints(rows, column, drop, shingle), id_col, text)
 
 
+def keep_similar(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``keep_first``, of components by a five-word Jaccard similarity of 0.8 or more, which majority bits can't
+    bound: by parity fingerprints with the same filtering (see ``similar_sets``)."""
+    from . import similar_sets
+
+    return similar_sets.keep_first(df, id_col, text)
+
+
 def first_rows(df: DataFrame, narrow: DataFrame, found: DataFrame, prints: Callable[..., DataFrame], id_col: str, text: str) -> DataFrame:
     """The rows that ``keep_first`` keeps, by ``narrow`` (id and ``fp`` of each row), the classes ``found`` of ``fp``, and
     ``prints``, which adds ``fp`` to rows."""
