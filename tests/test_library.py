@@ -172,3 +172,19 @@ def test_functions_exist_in_the_api():
 
     known = scalar.names()
     assert len(known) > 280
+
+
+def test_versioned_counts_conflicts_and_failed_renames(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "50%"), (4, "50%"), (5, None)], "id int, part string").repartition(3)
+    t = VersionedTable.create(df, str(tmp_path / "t"), ["part"])
+    assert t.detail().first().numRows == 5
+    t.update("part = '50%'", {"id": "id + 10"})
+    assert sorted(r.id for r in t.to_df().collect()) == [1, 2, 5, 13, 14] and t.detail().first().numRows == 5
+    state = t.log.state()
+    t.delete("id = 1")
+    with pytest.raises(ConcurrentWrite):
+        t._commit(state, "WRITE", {}, [])
+    t.optimize().z_order_by("id", "part")
+    assert sorted(r.id for r in t.to_df().collect()) == [2, 5, 13, 14]
+    with pytest.raises(ValueError):
+        t.alias("t").merge(df, "t.id = s.id", "s").whenNotMatched().delete()

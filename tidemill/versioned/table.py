@@ -1,8 +1,9 @@
 """Versioned tables over Parquet: snapshots, time travel, update, delete, merge, restore, vacuum.
 
-A table is a folder with data files and a log. Each version is one log entry, created only if no other writer made it
-(file systems refuse to create a file twice), that adds and removes data files; every tenth entry holds the whole
-state. A statement rewrites just the files that hold rows it changes: they are found by the statement's condition,
+A table is a folder with data files and a log. Each version is one log entry that adds and removes data files; every
+tenth entry holds the whole state. A writer claims a version by creating a file (file systems refuse to create one
+twice), writes the entry under another name and renames it, so readers see whole entries only; a claim that led to
+nothing lapses after ``CLAIM_SECONDS``. On object stores that create files without that refusal, one writer at a time. A statement rewrites just the files that hold rows it changes: they are found by the statement's condition,
 and the driver sees file names only. All row work is a distributed plan.
 """
 
@@ -12,6 +13,7 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,9 @@ from pyspark.sql import types as T
 
 #: A whole state is logged at every so many versions.
 WHOLE_EVERY = 10
+CLAIM_SECONDS = 120
+#: Bits of each column's place along the Z curve.
+Z_BITS = 6
 
 
 class ConcurrentWrite(RuntimeError):
@@ -66,16 +71,32 @@ class Log:
             stream.close()
 
     def write(self, entry: dict) -> None:
+        name = f"{entry['version']:020d}"
+        final, claim, draft = self.at("_log", f"{name}.json"), self.at("_log", f"_{name}.claim"), self.at("_log", f"_{uuid.uuid4().hex}.draft")
+        taken = ConcurrentWrite(f"version {entry['version']} of {self.path}")
+        if self.fs.exists(final):
+            raise taken
+        if self.fs.exists(claim) and self.fs.getFileStatus(claim).getModificationTime() < (time.time() - CLAIM_SECONDS) * 1000:
+            self.fs.delete(claim, False)
         try:
-            stream = self.fs.create(self.at("_log", f"{entry['version']:020d}.json"), False)
+            self.fs.create(claim, False).close()
         except Exception as e:
             if "already exists" in str(e).lower():
-                raise ConcurrentWrite(f"version {entry['version']} of {self.path}") from None
+                raise taken from None
             raise
         try:
-            stream.write(bytearray(json.dumps(entry).encode()))
+            if self.fs.exists(final):  # by a writer whose claim lapsed
+                raise taken
+            stream = self.fs.create(draft, False)
+            try:
+                stream.write(bytearray(json.dumps(entry).encode()))
+            finally:
+                stream.close()
+            if not self.fs.rename(draft, final):
+                raise taken
         finally:
-            stream.close()
+            self.fs.delete(draft, False)
+            self.fs.delete(claim, False)
 
     def state(self, version: int | None = None) -> State:
         have = self.versions()
@@ -198,14 +219,17 @@ class VersionedTable:
                 moves.append((p, f"{inner}/{batch}-{p.getName()}".strip("/")))
         counts = {}
         if moves:
-            rows = self.spark.read.parquet(*[m[0].toString() for m in moves]).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
-            counts = {r["f"]: r["count"] for r in rows}
+            rows = self.spark.read.parquet(*[m[0].toString() for m in moves]).groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
+            counts = {_inner(r["f"], f"_staged-{batch}/"): r["count"] for r in rows}
         for p, name in moves:
+            n = counts.get(p.toString().partition(f"_staged-{batch}/")[2], 0)
+            if not n:
+                continue
             to = self.log._path(f"{target}/{name}")
             fs.mkdirs(to.getParent())
-            n = counts.get(p.getName(), 0)
-            if n and fs.rename(p, to):
-                found[name] = n
+            if not fs.rename(p, to):
+                raise OSError(f"{p} could not be renamed to {to}; version {state.version} stays")
+            found[name] = n
         fs.delete(self.log._path(staged), True)
         return found
 
@@ -250,7 +274,11 @@ class VersionedTable:
 
     def _names(self, rows: DataFrame) -> list[str]:
         found = rows.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
-        return [r["f"].partition(f"{self.path.rpartition('/')[2]}/data/")[2] for r in found]
+        return [self._name(r["f"]) for r in found]
+
+    def _name(self, file_path: str) -> str:
+        """A data file's name in the log, from Spark's encoded path."""
+        return _inner(file_path, f"{self.path.rpartition('/')[2]}/data/")
 
     def _split(self, state: State, condition: Column) -> tuple[list[str], DataFrame]:
         """The files with rows that satisfy ``condition``, and their other rows."""
@@ -348,8 +376,23 @@ class Optimizer:
         return max(1, sum(self.table.log.state().files.values()) // 5_000_000)
 
     def z_order_by(self, *columns: str) -> int:
-        """Rows sorted by ranges of ``columns``, so that files hold narrow ranges of them."""
-        return self._rewritten(lambda df: df.repartitionByRange(self._parts(), *columns).sortWithinPartitions(*columns), "OPTIMIZE")
+        """Rows along a Z curve of ``columns``: each column's place among its quantiles, bits interleaved, so that files
+        hold narrow ranges of all of them. Nulls come first."""
+
+        def along(df: DataFrame) -> DataFrame:
+            numbers = {f"_n{i}": _number(c, df.schema[c].dataType) for i, c in enumerate(columns)}
+            wide = df.withColumns(numbers)
+            bounds = wide.approxQuantile(list(numbers), [k / (1 << Z_BITS) for k in range(1, 1 << Z_BITS)], 0.005)
+            z = F.lit(0).cast("long")
+            for i, (name, at) in enumerate(zip(numbers, bounds)):
+                known = sorted(set(at))
+                place = _below(known, F.col(name)) if known else F.lit(0)
+                place = F.when(F.col(name).isNull(), 0).otherwise(place).cast("long")
+                for bit in range(Z_BITS):
+                    z = z.bitwiseOR(F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(columns) + i))
+            return wide.withColumn("_z", z).repartitionByRange(self._parts(), "_z").sortWithinPartitions("_z").select(*df.columns)
+
+        return self._rewritten(along, "OPTIMIZE")
 
     executeCompaction = execute_compaction
     zOrderBy = z_order_by
@@ -404,6 +447,17 @@ class Merge:
     whenNotMatchedInsert, whenNotMatchedInsertAll = when_not_matched_insert, when_not_matched_insert_all
     whenNotMatchedBySourceUpdate, whenNotMatchedBySourceDelete = when_not_matched_by_source_update, when_not_matched_by_source_delete
 
+    def when_matched(self, condition=None) -> MergeAction:
+        return MergeAction(self, "matched", condition)
+
+    def when_not_matched(self, condition=None) -> MergeAction:
+        return MergeAction(self, "not_matched", condition)
+
+    def when_not_matched_by_source(self, condition=None) -> MergeAction:
+        return MergeAction(self, "not_matched_by_source", condition)
+
+    whenMatched, whenNotMatched, whenNotMatchedBySource = when_matched, when_not_matched, when_not_matched_by_source
+
     def _of_source(self, name: str) -> Column:
         return F.col(f"{self.source_alias}.{name}") if self.source_alias else self.source[name]
 
@@ -417,7 +471,7 @@ class Merge:
         by_source = any(c.kind == "not_matched_by_source" for c in self.clauses)
         changes = by_source or any(c.kind == "matched" for c in self.clauses)
         touched: list[str] = []
-        out = None
+        out = held = None
         every = list(state.files)
         if changes and every:
             whole = t._read(state, every)
@@ -425,7 +479,7 @@ class Merge:
                 touched = every
             else:
                 hit = whole.select("*", F.col("_metadata.file_path").alias("_file")).alias(alias).join(source, self.condition, "left_semi")
-                touched = [r[0].partition(f"{t.path.rpartition('/')[2]}/data/")[2] for r in hit.select("_file").distinct().collect()]
+                touched = [t._name(r[0]) for r in hit.select("_file").distinct().collect()]
         if touched:
             rows = t._read(state, touched).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_row")).alias(alias)
             met = rows.join(source, self.condition, "left")
@@ -435,9 +489,16 @@ class Merge:
                 if c.kind != "not_matched":
                     applies = (matched if c.kind == "matched" else ~matched) & (F.coalesce(c.condition, F.lit(False)) if c.condition is not None else F.lit(True))
                     place = F.when(applies, i).otherwise(place)
-            met = met.withColumn("_clause", place)
-            twice = met.where(matched).groupBy("_row").agg(F.count("*").alias("n"), F.count("_clause").alias("m")).where("n > 1 and m > 0")
-            if not twice.isEmpty():
+            met = met.withColumn("_clause", place).persist()  # one join for the checks and the rows
+            held = met
+            if by_source:  # files without a row that a clause applies to stay as they are
+                changed = [r[0] for r in met.where("_clause is not null").select("_row.file_path").distinct().collect()]
+                touched = [t._name(f) for f in changed]
+                met = met.where(F.col("_row.file_path").isin(changed))
+            rows_of = met.where(matched).groupBy("_row").agg(F.count("*").alias("n"), F.count("_clause").alias("m"))
+            most = rows_of.agg(F.max("n"), F.max(F.when(F.col("n") > 1, F.col("m")))).first()
+            if most[1]:
+                held.unpersist()
                 raise AmbiguousMerge("a target row is matched by several source rows")
             kept = met.where(~F.coalesce(F.col("_clause").isin(*[i for i, c in enumerate(self.clauses) if c.action == "delete"]), F.lit(False)))
             columns = []
@@ -448,7 +509,7 @@ class Merge:
                         new = self._of_source(f.name) if c.values is None else c.values[f.name.lower()]
                         value = F.when(F.col("_clause") == i, new.cast(f.dataType)).otherwise(value)
                 columns.append(value.alias(f.name))
-            many = not met.where(matched).groupBy("_row").count().where("count > 1").isEmpty()
+            many = (most[0] or 0) > 1
             # a row that several source rows match without a change stays single
             out = kept.select("_row", *columns).dropDuplicates(["_row"]).drop("_row") if many else kept.select(*columns)
         inserts = [c for c in self.clauses if c.kind == "not_matched"]
@@ -472,10 +533,47 @@ class Merge:
                 columns.append(value.alias(f.name))
             added = new.select(*columns)
             out = added if out is None else out.unionByName(added)
-        add = t._written(out, state) if out is not None else {}
+        try:
+            add = t._written(out, state) if out is not None else {}
+        finally:
+            if held is not None:
+                held.unpersist()
         return t._commit(state, "MERGE", add, touched)
 
 
+class MergeAction:
+    """``merge.whenMatched(condition)`` and its kin, before the action is said."""
+
+    def __init__(self, merge: Merge, kind: str, condition):
+        self._merge, self._kind, self._condition = merge, kind, condition
+
+    def _said(self, action: str, values, *kinds: str) -> Merge:
+        if self._kind not in kinds:
+            raise ValueError(f"{action} does not go with {self._kind}")
+        return self._merge._add(self._kind, action, self._condition, values)
+
+    def update(self, set) -> Merge:  # noqa: A002
+        return self._said("update", set, "matched", "not_matched_by_source")
+
+    def update_all(self) -> Merge:
+        return self._said("update", None, "matched")
+
+    def delete(self) -> Merge:
+        return self._said("delete", None, "matched", "not_matched_by_source")
+
+    def insert(self, values) -> Merge:
+        return self._said("insert", values, "not_matched")
+
+    def insert_all(self) -> Merge:
+        return self._said("insert", None, "not_matched")
+
+    updateAll, insertAll = update_all, insert_all
+
+
+def _inner(file_path: str, behind: str) -> str:
+    return unquote(file_path).partition(behind)[2]
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
@@ -485,6 +583,21 @@ def _filled(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def _below(bounds: list[float], value: Column) -> Column:
+    """How many of ``bounds`` a value is above."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value))
+
+
+def _number(column: str, kind: T.DataType) -> Column:
+    """A number in a column's order, for texts by their first six characters' codes."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.hex(F.rpad(F.substring(c, 1, 6).cast("binary"), 6, F.lit(b"\0"))), 16, 10).cast("double")
+    if isinstance(kind, T.DateType | T.TimestampNTZType | T.TimestampType):
+        return c.cast("timestamp").cast("double")
+    return c.cast("double")
+
+
 def _expr(c: str | Column) -> Column:
     return c if isinstance(c, Column) else F.expr(str(c))
 
