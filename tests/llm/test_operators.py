@@ -391,36 +391,51 @@ def test_components(spark):
 
 
 def brute_top(rows, k=20):
-    scaled = {}
+    scaled = []
     for i, v in rows:
-        if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v):
-            scaled[i] = [int(np.floor(64 * float(x))) for x in v]
-    out = set()
-    for q in scaled:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            scaled.append((i, [int(np.floor(64 * float(x))) for x in v]))
+    out = []
+    for at, (q, v) in enumerate(scaled):
         if q % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(scaled[q], c)), i) for i, c in scaled.items() if i != q and len(c) == len(scaled[q]))
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])}
-    return out
+            found = sorted((-sum(a * b for a, b in zip(v, c)), i) for n, (i, c) in enumerate(scaled) if n != at and len(c) == len(v))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 50])
-def test_top_k(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "sample_rows", "box_bytes"), [(4096, 50_000, 1 << 20), (50, 50_000, 1 << 20), (50, 40, 0)])
+def test_top_k(spark, monkeypatch, shard_rows, sample_rows, box_bytes):
+    monkeypatch.setattr(exact_topk, "BOX_BYTES", box_bytes)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
     rows += [(i, [0.25] * 8) for i in range(300, 420)]
     rows += [(420, None), (440, [1.0, None] + [0.0] * 6), (460, [float("nan")] * 8), (480, [float("inf")] * 8), (500, [0.5, 0.5]), (501, [0.1, 0.2]), (None, [0.1] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = exact_topk.top_k(df, shard_rows=shard_rows).collect()
+    rows += [(520, []), (521, []), (522, []), (40, [0.3] * 8), (40, [0.3] * 8), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("cell", F.lit(None))
+    got = exact_topk.top_k(df, shard_rows=shard_rows, sample_rows=sample_rows).collect()
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert {tuple(r) for r in got} == brute_top(as_float)
-    assert len(got) == len({tuple(r) for r in got})
+    assert sorted(tuple(r) for r in got) == brute_top(as_float)
     assert exact_topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_leaves_out_shards_that_cannot_reach(spark):
+    """Clusters far apart: queries stay with their own."""
+    rng = np.random.default_rng(3)
+    rows = [(c * 100 + i, [float(x) for x in np.eye(4)[c] * 8 + rng.normal(0, 0.02, 4)]) for c in range(4) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = exact_topk.written(exact_topk.whole_vectors(df, "vec_id", "embedding"), "t")
+    dealt = exact_topk.written(exact_topk._dealt(vectors, 400, 13, 50_000), "t")
+    trees = exact_topk.written(dealt.repartition("dim", "cell", "salt").sortWithinPartitions("dim", "cell", "salt").mapInArrow(exact_topk._build, exact_topk._TREES), "t")
+    asked = dealt.where("vec_id % 20 = 0").select("dim", "cell", "salt", F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "vector", F.lit(64 * 64 * 60).cast("long").alias("bound"), F.lit(5).cast("long").alias("bound_id"))
+    assert trees.count() >= 30
+    assert 0 < exact_topk._routed(asked, trees).count() < 0.5 * asked.count() * trees.count()
+    assert sorted(tuple(r) for r in exact_topk.top_k(df, shard_rows=100).collect()) == brute_top(rows)
+
+
 def test_top_k_huge_values(spark):
     rows = [(i, [1e6 * i + 0.25, 3e5]) for i in range(25)]
     got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert {tuple(r) for r in got} == brute_top(rows)
+    assert sorted(tuple(r) for r in got) == brute_top(rows)
 
 
 # ------------------------------------------------------------------ pieces
