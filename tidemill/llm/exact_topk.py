@@ -331,7 +331,7 @@ def _routed(asked: DataFrame, trees: DataFrame) -> DataFrame:
                     cell, salt, least, lo, hi = held.value[dim]
                     q = _matrix(own.column("vector"), dim)
                     reach = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
-                    bound = own.column("bound").cast(pa.float64()).fill_null(-np.inf).to_numpy()[:, None]
+                    bound = np.array([-np.inf if b is None else float(b) for b in own.column("bound").to_pylist()])[:, None]
                     behind = own.column("bound_id").fill_null(2**63 - 1).to_numpy()[:, None]
                     # sums this large are rounded: those shards are all visited
                     loose = np.abs(reach) >= EXACT
