@@ -471,6 +471,39 @@ def test_pieces_scan_by_chunks(pieces):
     assert m.encode([" " * 900])[0].tolist() == lib.encode(" " * 900)
 
 
+@pytest.mark.parametrize("part", [40, 64, 300])
+def test_giant_texts_by_chunks(pieces, part):
+    m, lib, _ = pieces
+    rng = random.Random(17)
+    part = max(part, m.longest)
+    texts = ["".join(rng.choice("ab éß日\n\t.,ing  thereon▁") for _ in range(rng.randint(400, 900))) for _ in range(12)]
+    texts += [" " * 700, "a" * 700, "the internationalization of words " * 30, "x " * 400, "日本語" * 200, "=-" * 300 + " end"]
+    for t in texts:
+        parts = m.cut(t, part)
+        assert len(parts) > 1
+        steps = [m.transfer(*x) for x in parts]
+        for one, two in zip(steps, steps[1:]):
+            assert one[1] == two[0]  # both sides of a boundary name its states alike
+        taken = piece_codec.path_states([x[2] for x in steps])
+        ids = np.concatenate([m.backtrace(*x, i, j) for x, i, j in zip(parts, taken, taken[1:])])
+        assert ids.tolist() == lib.encode(t)
+
+
+def test_giant_texts_in_spark(spark, pieces):
+    _, lib, path = pieces
+    rng = random.Random(18)
+    words = ["the", "internationalization", "é日", "of", "x" * 300, "\n", "running", "12,5", "  "]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (5, 9000, 14000)] + [None, "z" * 70000]
+    df = docs_of(spark, texts).withColumn("key", F.lit("mine")).withColumn("chunk", F.lit(1)).withColumn("row", F.lit(2)).withColumn("ids", F.lit("clash"))
+    assert sum(len(t or "") > piece_codec.GIANT for t in texts) == 3
+    rows = piece_codec.encode(df, path, check=True)
+    assert set(rows.columns) == {*df.columns, "round_trip"}
+    for r in rows.collect():
+        assert r.ids == lib.encode(texts[r.doc_id] or "") and r.round_trip and r.key == "mine" and r.text == texts[r.doc_id]
+    few = piece_codec.encode(df.select("text"), path, drop=("text",)).collect()
+    assert sorted(r.ids for r in few) == sorted(lib.encode(t or "") for t in texts)
+
+
 def test_max_plus_scan_is_a_prefix_product():
     rng = np.random.default_rng(0)
     ms = [rng.normal(size=(3, 3)) for _ in range(7)]

@@ -6,13 +6,15 @@ the one path of weight 0 is the encoding that byte-pair merging gives (neighbour
 encoding if and only if each two neighbours are one). A prefix has one best last piece, hence the forward pass keeps
 one piece for each position, and runs for all distinct words of a block at once.
 
-Giant texts are cut into chunks. Where no piece can straddle a place (before a word mark after a letter), the boundary
-has one state, and chunks are independent. Elsewhere, in runs of more than ``CHUNK`` characters without such a place,
-a boundary's states are the pieces that cover it; each chunk yields its transfer matrix, from the states before to those
-behind, for all its entering states at once; matrices are combined associatively by a max-plus prefix scan; the states
-that the whole path takes are read off backwards, and each chunk is then backtraced on its own.
-
-Defined results: null text counts as empty and gives no pieces; very long texts form blocks of their own; characters
+Giant texts, of more than ``GIANT`` characters, are cut into chunks of ``PART`` characters wherever that falls, rows of
+their own that are dealt over tasks. A boundary's states are the pieces that cover the character before it; each
+chunk yields its transfer matrix, from the states before it to those behind; a document's matrices are combined
+associatively by a max-plus prefix scan, the states that the whole path takes are read off backwards, and each chunk is
+then backtraced on its own, again over tasks. Within a chunk, places that no piece can straddle (before a word mark
+after a letter) have one state, so words between them are encoded once. Runs of more than ``LONGEST`` characters
+without such a place go through the same scan by chunks of ``CHUNK`` within their task.
+
+Defined results: null text counts as empty and gives no pieces; very long texts are scanned by chunks; characters
 outside the vocabulary become byte pieces; the word mark U+2581 inside a text reads as a blank when decoded; repeated
 rows give repeated results; an empty table gives no rows; extra columns pass through, clashing names are replaced.
 """
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import append_columns
+from ._common import append_columns, blocks, written
 
 MARK = "▁"
 #: Longest run that is encoded as one piece of lattice, and the length of the chunks of longer ones.
 LONGEST, CHUNK = 256, 128
 #: Distinct words that a Python worker keeps encodings of, and characters whose lattice is built at once.
 KEPT = 150_000
+#: Longest text that is encoded within one task, and the length of the chunks of longer ones, in characters.
+GIANT, PART = 1 << 16, 1 << 13
 LATTICE_CHARS = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1 << 40)
@@ -337,11 +341,108 @@ class PieceModel:
                 path += self._traced(passed[taken[m]][0], 0, stop - end)
         return path
 
+    # ------------------------------------------------------------ chunks of giant texts
+
+    def marked(self, text: str) -> str:
+        return (MARK if self.prefix else "") + text.replace(" ", MARK)
+
+    def cut(self, text: str, part: int = PART) -> list[tuple[str, str, int]]:
+        """(characters before a chunk that pieces may reach back to, the chunk and characters behind it that they may
+        reach to, the chunk's length), in order."""
+        whole = self.marked(text)
+        cuts = [*range(0, len(whole), part), len(whole)]
+        if len(cuts) > 2 and len(whole) - cuts[-2] < self.longest:
+            del cuts[-2]
+        far = self.longest
+        return [(whole[max(0, c - far) : c], whole[c : d + far], d - c) for c, d in zip(cuts, cuts[1:])]
+
+    def _told(self, piece: int) -> int:
+        """A piece's number for other workers: of a character outside the vocabulary, by its code."""
+        return piece if piece < self.size else self.size + self.odd_chars[piece - self.size]
+
+    def _own(self, told: int) -> int:
+        if told < self.size:
+            return told
+        c = told - self.size
+        if c not in self.odd:
+            self.odd[c] = self.size + len(self.odd_chars)
+            self.odd_chars.append(c)
+        return self.odd[c]
+
+    def states(self, before: str, behind: str) -> list[tuple[int, int]]:
+        """(how far behind the boundary it ends, piece) of all pieces that cover the character before the boundary."""
+        if not before:
+            return [(0, -1)]
+        n = len(before) + len(behind)
+        first, stop, piece = self.lattice(codes(before + behind), np.zeros(n, dtype=np.int64), np.full(n, n, dtype=np.int64))
+        own = np.flatnonzero((first < len(before)) & (stop >= len(before)))
+        return sorted((int(stop[i]) - len(before), self._told(int(piece[i]))) for i in own)
+
+    def _breaks(self, text: str) -> list[int]:
+        """The places in ``text`` that no piece straddles."""
+        if self.straddles:
+            return []
+        return [m.end() for m in re.finditer(f"[^{MARK}](?={MARK})", text)]
+
+    def transfer(self, before: str, body: str, size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray, tuple]:
+        """(states before a chunk, states behind it, its max-plus matrix, and what a backtrace needs)."""
+        far = self.longest
+        into = self.states(before, body[:far])
+        whole = before[-1:] + body  # a place at the chunk's start shows only with the character before it
+        breaks = [p - len(before[-1:]) for p in self._breaks(whole)]
+        outof = self.states((before + body[:size])[-far:], body[size:])
+        open_start = not before or 0 in breaks
+        inner = [p for p in breaks if 0 < p < size]
+        ahead = min([p for p in breaks if p >= size], default=len(body))
+        head = inner[0] if inner else ahead  # where the runs that depend on the state before end
+        entering = [(end, -1 if open_start else self._own(p)) for end, p in into]
+        rows = [i for i, (end, _) in enumerate(entering) if end < head]
+        last = {}
+        if rows:
+            flat, base, _ = self.forward([body[entering[i][0] : head] for i in rows], np.array([entering[i][1] for i in rows], dtype=np.int64))
+            flat = flat.tolist()
+            last = {i: flat[b : b + head - entering[i][0]] for i, b in zip(rows, base.tolist())}
+        matrix = np.full((len(into), len(outof)), -np.inf)
+        places = {s: j for j, s in enumerate(outof)}
+        tail: list[int] = []
+        if inner:
+            found, _, _ = self.forward([body[inner[-1] : ahead]], np.array([-1], dtype=np.int64))
+            tail = found.tolist()
+        for (stop, told), j in places.items():
+            stop, p = size + stop, self._own(told) if told >= 0 else -1
+            for i, (end, _) in enumerate(entering):
+                if inner:  # into the first place, then on from the last
+                    reached = end == head or end < head and last[i][-1] >= 0
+                    fine = reached and stop <= ahead and stop - self.width(p) >= inner[-1] and tail[stop - inner[-1] - 1] == p
+                elif end >= size:  # a piece that covers the whole chunk
+                    fine = into[i] == (stop, told)
+                else:
+                    fine = stop <= ahead and stop - self.width(p) >= end and last[i][stop - end - 1] == p
+                if fine:
+                    matrix[i, j] = 0.0
+        return into, outof, matrix, (entering, last, head, inner, tail)
+
+    def backtrace(self, before: str, body: str, size: int, i: int, j: int) -> np.ndarray:
+        """The ids of a chunk's pieces on the path from its state ``i`` to its state ``j``."""
+        _, outof, _, (entering, last, head, inner, tail) = self.transfer(before, body, size)
+        end, stop = entering[i][0], size + outof[j][0]
+        if not inner:
+            return self._ids_of(self._traced(last[i], 0, stop - end) if stop > end else [])
+        first = self._traced(last[i], 0, head - end) if end < head else []
+        words = [body[a:b] for a, b in zip(inner, inner[1:])]
+        new = {w for w in words if w not in self.known}
+        self._learn(list(new))
+        middle = [np.frombuffer(self.known[w], dtype=np.int32) for w in words]
+        return np.concatenate([self._ids_of(first), *middle, self._ids_of(self._traced(tail, 0, stop - inner[-1]))])
+
+    def _ids_of(self, path: list[int]) -> np.ndarray:
+        return self._ids(path) if path else np.zeros(0, dtype=np.int32)
+
     def words_of(self, text: str | None) -> list[str]:
         """The runs between places that no piece straddles."""
         if not text:
             return []
-        whole = (MARK if self.prefix else "") + text.replace(" ", MARK)
+        whole = self.marked(text)
         if self.straddles:
             return [whole]
         if whole[0] == MARK and MARK + MARK not in whole and whole[-1] != MARK:
@@ -397,6 +498,15 @@ def _prefix_scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def path_states(matrices: list[np.ndarray]) -> list[int]:
+    """The states, from the first boundary to the last, of the path of weight 0 through the chunks' matrices."""
+    reach = _prefix_scan(matrices)
+    taken = [int(np.flatnonzero(reach[-1][0] == 0)[0])]
+    for m in range(len(matrices) - 1, 0, -1):
+        taken.append(int(np.flatnonzero((reach[m - 1][0] == 0) & (matrices[m][:, taken[-1]] == 0))[0]))
+    return [0, *taken[::-1]]
+
+
 _models: dict[str, PieceModel] = {}
 
 
@@ -433,7 +543,94 @@ def encode(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] =
         return out
 
     fields = [IDS] + [T.StructField("round_trip", T.BooleanType())] * check
-    return append_columns(df, text, fields, compute, drop)
+    giant = F.coalesce(F.length(text) > GIANT, F.lit(False))
+    usual = append_columns(df.where(~giant), text, fields, compute, drop)
+    kept = [c for c in df.columns if c not in drop and c not in {f.name for f in fields}]
+    held = df.where(giant).select(F.monotonically_increasing_id().alias("key"), F.struct(*kept).alias("row") if kept else F.lit(0).alias("row"), F.col(text).alias("text"))
+    held = written(held, "piece-giants")
+    if held.isEmpty():
+        return usual
+    coded = held.join(_scanned(held, path), "key")
+    if check:
+        coded = _checked(coded, path)
+    return usual.union(coded.select("row.*" if kept else F.lit(0).alias("_none"), *[f.name for f in fields]).select(*usual.columns))
+
+
+_CHUNK = [("key", T.LongType()), ("chunk", T.IntegerType()), ("before", T.StringType()), ("body", T.StringType()), ("size", T.IntegerType())]
+_MATRIX = [("n_in", T.IntegerType()), ("n_out", T.IntegerType()), ("open", T.BinaryType())]
+_ROUTE = [("key", T.LongType()), ("chunk", T.IntegerType()), ("i", T.IntegerType()), ("j", T.IntegerType())]
+
+
+def _schema(fields: list) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def _cutting(path: str):
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                parts = model(path).cut(text)
+                for at in range(0, len(parts), 64):
+                    some = parts[at : at + 64]
+                    columns = [[key] * len(some), range(at, at + len(some)), *zip(*some)]
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[n for n, _ in _CHUNK])
+
+    return run
+
+
+def _transferring(path: str):
+    names = [n for n, _ in _CHUNK + _MATRIX]
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks([batch], "body"):
+                found = [model(path).transfer(*r)[2] for r in zip(*(block.column(c).to_pylist() for c in ("before", "body", "size")))]
+                extra = [pa.array([m.shape[k] for m in found], pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*block.columns, *extra, pa.array([(m == 0).tobytes() for m in found], pa.binary())], names=names)
+
+    return run
+
+
+def _folded(table: pa.Table) -> pa.Table:
+    """Of a document's matrices: the states that its path takes before and behind each chunk."""
+    table = table.sort_by("chunk")
+    shapes = zip(table.column("n_in").to_pylist(), table.column("n_out").to_pylist(), table.column("open").to_pylist())
+    matrices = [np.where(np.frombuffer(o, dtype=bool).reshape(a, b), 0.0, -np.inf) for a, b, o in shapes]
+    taken = path_states(matrices)
+    return pa.table([table.column("key"), table.column("chunk"), pa.array(taken[:-1], pa.int32()), pa.array(taken[1:], pa.int32())], names=[n for n, _ in _ROUTE])
+
+
+def _backtracing(path: str):
+    def run(batches):
+        for batch in batches:
+            for block in blocks([batch], "body"):
+                ids = [model(path).backtrace(*r) for r in zip(*(block.column(c).to_pylist() for c in ("before", "body", "size", "i", "j")))]
+                yield pa.RecordBatch.from_arrays([block.column("key"), block.column("chunk"), _as_lists(ids)], names=["key", "chunk", "ids"])
+
+    return run
+
+
+def _scanned(held: DataFrame, path: str) -> DataFrame:
+    """(key, ids) of giant texts: chunks, matrices, the fold of each document's, and backtraces."""
+    chunks = held.select("key", "text").mapInArrow(_cutting(path), _schema(_CHUNK)).repartition("key", "chunk")
+    chunks = written(chunks.mapInArrow(_transferring(path), _schema(_CHUNK + _MATRIX)), "piece-chunks")
+    route = chunks.select("key", "chunk", "n_in", "n_out", "open").groupBy("key").applyInArrow(_folded, _schema(_ROUTE))
+    found = chunks.drop("n_in", "n_out", "open").join(route, ["key", "chunk"]).mapInArrow(_backtracing(path), _schema([_CHUNK[0], _CHUNK[1], ("ids", IDS.dataType)]))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
+    return found.groupBy("key").agg(F.flatten(F.transform(ordered, lambda c: c["ids"])).alias("ids"))
+
+
+def _checked(coded: DataFrame, path: str) -> DataFrame:
+    schema = T.StructType([*coded.schema.fields, T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks([batch], "text"):
+                same = [model(path).decode(np.array(i, dtype=np.int64)) == t.replace(MARK, " ") for i, t in zip(block.column("ids").to_pylist(), block.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(same, pa.bool_())], names=schema.names)
+
+    return coded.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
