@@ -790,3 +790,62 @@ def test_language_counts_are_whole(spark, odd):
     none = language_id.train(both.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language_id.predict(both, none).collect()} == {"und"}
     assert language_id.predict(both.limit(0), model).count() == 0
+
+
+def brute_language(model, text, rounds, penalty):
+    """One text by plain loops over its n-grams: (language, proportion, proportions of the set)."""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, {}
+    data = b" " + text.lower().encode() + b" "
+    counts = Counter(((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(data) - 2))
+    k = len(model.languages)
+    p = {g: [math.exp(float(x)) for x in model.logp[g]] for g in counts}
+
+    def fitted(share):
+        for _ in range(rounds):
+            new = [0.0] * k
+            for g, n in counts.items():
+                part = [a * b for a, b in zip(p[g], share)]
+                for j in range(k):
+                    new[j] += n * part[j] / sum(part)
+            share = [x / sum(counts.values()) for x in new]
+        return share, sum(n * math.log(sum(a * b for a, b in zip(p[g], share))) for g, n in counts.items())
+
+    alone = [sum(n * math.log(p[g][j]) for g, n in counts.items()) for j in range(k)]
+    best = max(range(k), key=lambda j: (alone[j], -j))
+    top, chosen = alone[best], [float(j == best) for j in range(k)]
+    order = sorted(range(k), key=lambda j: -fitted([1 / k] * k)[0][j])
+    for number in range(2, k + 1):
+        share, like = fitted([1 / number if j in order[:number] else 0.0 for j in range(k)])
+        if like - top <= penalty + 0.5 * math.log(sum(counts.values())):
+            break
+        top, chosen = like, share
+    leader = max(range(k), key=lambda j: (chosen[j], -j))
+    return model.languages[leader], chosen[leader], {model.languages[j]: x for j, x in enumerate(chosen) if x}
+
+
+def test_language_inference_by_plain_loops(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(docs)
+    by = {x: " ".join(docs.where(f"lang = '{x}' and n_chars > 3000").first().text.split()[:120]) for x in ("en", "de", "fr", "es")}
+    texts = [*by.values(), by["en"] + " " + by["fr"], by["de"][:200] + " " + by["es"], by["en"] + by["fr"] + by["es"], "a", "½ ² Ⅷ", "x½", None]
+    lang, score, shares = language_id.infer(model, texts)
+    for i, t in enumerate(texts):
+        want = brute_language(model, t, language_id.ROUNDS, language_id.PENALTY)
+        assert lang[i] == want[0] and abs(score[i] - want[1]) < 1e-6 and set(shares[i]) == set(want[2]), t
+    assert lang[8] == "und" and lang[9] != "und"
+
+
+def test_language_slices_of_long_texts(monkeypatch, spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(docs)
+    texts = [r.text for r in docs.limit(30).collect()] + ["", "é" * 50]
+    whole = language_id.infer(model, texts)
+    counts = [x.tolist() for x in language_id.gram_counts(texts)]
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 100)
+    monkeypatch.setattr(language_id, "CELLS", 5000)
+    assert [x.tolist() for x in language_id.gram_counts(texts)] == counts
+    cut = language_id.infer(model, texts)
+    assert cut[0] == whole[0] and np.allclose(cut[1], whole[1]) and [set(s) for s in cut[2]] == [set(s) for s in whole[2]]
