@@ -677,7 +677,9 @@ def test_licences(spark):
         (10, "e/g.txt", "words " * 100),
     ]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("licence", F.lit("clash"))
-    got = {(r.doc_id, r.licence, r.basis, r.from_dir) for r in license_scan.licences(df).collect()}
+    alone = {(r.doc_id, r.licence, r.basis) for r in license_scan.licences(df).collect()}
+    assert (9, "CC-BY-NC-4.0", "own") in alone and (10, None, "none") in alone  # a short text is no licence file unless asked for
+    got = {(r.doc_id, r.licence, r.basis, r.from_dir) for r in license_scan.licences(df, file_words=40).collect()}
     assert got == {
         (1, "MIT", "own", None),
         (2, "GPL-3.0", "inherited", "a/b"),
@@ -710,6 +712,83 @@ def test_licence_templates_pass_the_filter():
         assert license_scan.header_of("a.txt", text) is None
 
 
+def brute_licences(rows):
+    """Cosines by dictionaries, inheritance by walking up each path."""
+    import math
+
+    L = license_scan
+    known = [(k, Counter(L.words(t))) for k, t in L.templates()]
+    own = Counter(w for _, c in known for w in c)
+    full = [Counter(L.words(t)) for t in L.FULL.values()]
+
+    def cosine(a, b):
+        return sum(n * b.get(w, 0) for w, n in a.items()) / ((math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values()))) or 1)
+
+    headers = []
+    for _, path, text in rows:
+        counts = Counter(L.words(text or ""))
+        if path and L._FILE.search(path):
+            headers.append((counts, 2))
+        elif not L._TRIGGER.search(text or ""):
+            headers.append(None)
+        elif any(cosine(counts, f) >= L.LEAST_FILE for f in full):
+            headers.append((counts, 1))
+        else:
+            headers.append((Counter(w for s in L._SENTENCE.split(text) if L._TRIGGER.search(s) for w in L.words(s)), 0))
+    n = sum(h is not None for h in headers)
+    seen = Counter(w for h in headers if h for w in h[0])
+    weight = {w: math.log((1 + 2 * len(known)) / (1 + own[w] + min(1.0, len(known) / max(1, n)) * seen[w])) for w in own}
+    found = []
+    for h in headers:
+        best = (None, None)
+        if h:
+            mine = {w: c * weight[w] for w, c in h[0].items() if w in weight}
+            scores = [(round(cosine(mine, {w: c * weight[w] for w, c in t.items()}), 9), k) for k, t in known] if mine else []
+            if scores and max(s for s, _ in scores) >= L.LEAST:
+                top = max(s for s, _ in scores)
+                best = (next(k for s, k in scores if s == top), top)
+        found.append(best)
+    holders = {}
+    for (_, path, _t), h, (licence, score) in zip(rows, headers, found):
+        if h and h[1] and licence:
+            d = (path or "").rpartition("/")[0]
+            holders[d] = max(holders.get(d, (0, 0, "")), (h[1], score, licence))
+    out = []
+    for (i, path, _t), (licence, _s) in zip(rows, found):
+        if licence:
+            out.append((i, licence, "own", None))
+            continue
+        d = (path or "").rpartition("/")[0]
+        while d not in holders and d:
+            d = d.rpartition("/")[0]
+        out.append((i, holders[d][2], "inherited", d) if d in holders else (i, None, "none", None))
+    return out
+
+
+def test_licences_by_brute_force(spark):
+    rng = random.Random(4)
+    full = license_scan.FULL
+    notes = [t for _, t in license_scan.sentences()]
+    plain = "the quick brown fox jumps over lazy dogs and rivers run to the sea".split()
+    rows = []
+    for i in range(160):
+        path = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) + rng.choice(["/x.txt", "/LICENSE", "/y.py"])
+        prose = " ".join(rng.choice(plain) for _ in range(rng.randint(0, 60)))
+        text = rng.choice([prose, prose + ". " + rng.choice(notes) + " " + prose, "Copyright (c) 2020 A. N. Other\n" + rng.choice(list(full.values())), rng.choice(list(full.values())) + " " + prose, None, ""])
+        rows.append((i, path.lstrip("/"), text))
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted((tuple(r[c] for c in ("doc_id", "licence", "basis", "from_dir")) for r in license_scan.licences(df).collect()), key=lambda r: r[0])
+    assert got == brute_licences(rows)
+
+
+def test_full_licence_texts_are_files_and_find_themselves():
+    model = license_scan.LicenceModel.build({}, 0)
+    for name, text in license_scan.FULL.items():
+        header, is_file = license_scan.header_of("src/a.txt", "Copyright (c) 2021 Some One\n\n" + text)
+        assert is_file == 1 and model.best(header)[0] == name
+    assert license_scan.header_of("src/a.txt", "Licensed under the MIT License. See the file.")[1] == 0
+
+
 def test_licence_sentences_of_documents(spark, data):
     rows = license_scan.query(spark, data).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
