@@ -832,6 +832,54 @@ def test_non_negative_risk_recovers_a_mixture():
     assert (model.score(cells) >= 0.5).tolist() == good.tolist()
 
 
+def test_quality_risk_by_plain_loops():
+    import math
+
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 4 ** len(quality_classifier.RATES), 60)
+    x = quality_classifier.design(cells)
+    assert all(sum(row) == len(quality_classifier.RATES) + 1 for row in x)
+    for scale in (0.1, 3.0):
+        p, u = (v / v.sum() for v in rng.random((2, 60)))
+        w, prior = rng.normal(0, scale, x.shape[1]), 0.6
+
+        def parts(w, p=p, u=u):
+            loss = lambda z: math.log(1 + math.exp(-z))
+            f = [sum(a * b for a, b in zip(row, w)) for row in x]
+            positive = prior * sum(a * loss(z) for a, z in zip(p, f))
+            return positive, sum(a * loss(-z) for a, z in zip(u, f)) - prior * sum(a * loss(-z) for a, z in zip(p, f))
+
+        positive, negative, step = quality_classifier.risk(w, x, p, u, prior)
+        assert np.allclose((positive, negative), parts(w))
+        for i in range(0, len(w), 7):  # the slope of the risk, or of minus its second part where that is negative
+            e = np.eye(len(w))[i] * 1e-5
+            up, down = parts(w + e), parts(w - e)
+            slope = (sum(up) - sum(down) if negative >= 0 else down[1] - up[1]) / 2e-5
+            assert abs(slope - step[i]) < 1e-6
+
+
+def test_quality_n_gram_ratios_by_plain_loops(spark):
+    import math
+
+    texts = ["good words here", "good words there", "b@d w%rds", None, ""]
+    df = docs_of(spark, texts).withColumn("trusted", F.when(F.col("doc_id") < 2, 0).when(F.col("doc_id") == 2, 1))
+    got = quality_classifier.n_gram_ratios(df)
+
+    def grams(t):
+        d = b" " + t.encode() + b" "
+        return [((d[i] << 16 | d[i + 1] << 8 | d[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(d) - 2)]
+
+    pos, every = Counter(g for t in texts[:2] for g in grams(t)), Counter(g for t in texts for g in grams(t or ""))
+    size = 1 << 16
+    for g in every:
+        want = math.log((pos[g] + 0.5) / (sum(pos.values()) + 0.5 * size)) - math.log((every[g] + 0.5) / (sum(every.values()) + 0.5 * size))
+        assert abs(got[g] - want) < 1e-9
+    mean = quality_classifier.ratios([t or "" for t in texts], got)
+    for m, t in zip(mean, texts):
+        own = grams(t or "")
+        assert abs(m - (sum(got[g] for g in own) / len(own) if own else 0)) < 1e-9
+
+
 def test_language_id_held_out(spark, data):
     base = data.replace("sf0.001", "sf0.01")
     rows = language_id.query(spark, base).join(spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

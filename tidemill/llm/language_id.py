@@ -80,10 +80,12 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1), counts.astype(np.float64)
 
 
-_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType())])
+COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def _count(text: str, lang: str):
+def count_n_grams(text: str, lang: str):
+    """A pass that sums n-grams by the column ``lang``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for block in blocks(batches, text):
@@ -100,7 +102,7 @@ def _count(text: str, lang: str):
     def out(sums):
         for name, n in sorted(sums.items()):
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=_COUNTS.names)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=COUNTS.names)
 
     return run
 
@@ -115,7 +117,7 @@ class LanguageModel:
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", smooth: float = 0.5) -> LanguageModel:
     """Counts n-grams of all rows of ``df`` with a language. The driver gets languages x 65,536 sums at most."""
-    counts = df.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(_count(text, lang), _COUNTS)
+    counts = df.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(count_n_grams(text, lang), COUNTS)
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = rows.column("lang").to_numpy(zero_copy_only=False)
     languages = tuple(sorted(set(names)))
