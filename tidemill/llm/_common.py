@@ -4,6 +4,7 @@ byte-bounded Arrow blocks."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,22 @@ def scratch(spark: SparkSession, make: Callable[[], DataFrame], label: str, lazy
     return result
 
 
+def release(docs: DataFrame) -> None:
+    """Deletes the tables of earlier steps that ``docs`` does not read: for chains in which each step's result is a
+    table of its own before the next begins. If ``docs`` reads anything but files, nothing is deleted."""
+    roots: list[str] = []
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    try:
+        for i in range(leaves.size()):
+            found = leaves.apply(i).relation().location().rootPaths()
+            roots += [found.apply(k).toString() for k in range(found.size())]
+    except Exception:  # a leaf without files
+        return
+    dead = [t for t in _made if t[0] is docs.sparkSession and not any(t[1].rpartition("/")[2] in r for r in roots)]
+    _made[:] = [t for t in _made if t not in dead]
+    _delete(dead)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
@@ -100,6 +117,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    _tidy()
+
+
+def _tidy() -> None:
+    """Hands memory that a task has freed back to the system: Python workers are used again by tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def append_columns(
