@@ -17,6 +17,7 @@ _MODULES = [
     "tidemill.plans.sql",
     "tidemill.operators.relational",
     "tidemill.operators.aggregates",
+    "tidemill.operators.frames",
     "tidemill.functions.scalar",
     "tidemill.sources.queries",
     "tidemill.streaming.queries",
