@@ -729,12 +729,12 @@ def brute_licences(rows):
         counts = Counter(L.words(text or ""))
         if path and L._FILE.search(path):
             headers.append((counts, 2))
-        elif not L._TRIGGER.search(text or ""):
+        elif not L.has_notice(text or ""):
             headers.append(None)
         elif any(cosine(counts, f) >= L.LEAST_FILE for f in full):
             headers.append((counts, 1))
         else:
-            headers.append((Counter(w for s in L._SENTENCE.split(text) if L._TRIGGER.search(s) for w in L.words(s)), 0))
+            headers.append((Counter(w for s in L._SENTENCE.split(text) if L.has_notice(s) for w in L.words(s)), 0))
     n = sum(h is not None for h in headers)
     seen = Counter(w for h in headers if h for w in h[0])
     weight = {w: math.log((1 + 2 * len(known)) / (1 + own[w] + min(1.0, len(known) / max(1, n)) * seen[w])) for w in own}

@@ -149,10 +149,12 @@ def _trigger() -> re.Pattern[str]:
     spelt = {n: r"\s+".join(map(re.escape, n.split())) for names in NAMES.values() for n in names}
     versioned = "|".join(s for n, s in spelt.items() if re.search(r"\d", n))
     named = rf"\b(?:{versioned})\b|\bunder\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{'|'.join(spelt.values())})\b"
-    return re.compile(rf"licen[sc]|copyright|spdx|public domain|hereby granted|endorse or promote|express or implied|{named}", re.IGNORECASE)
+    return re.compile(rf"licen[sc]|copyright|spdx|public domain|hereby granted|endorse or promote|{named}", re.IGNORECASE)
 
 
 _TRIGGER = _trigger()
+#: Found apart from the expression, which would try it at every "e".
+_WARRANTY = ("express or implied", "EXPRESS OR IMPLIED")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n")
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _FILE = re.compile(r"(?:^|/)(?:licen[sc]e|copying|notice|unlicense)[^/]*$", re.IGNORECASE)
@@ -162,6 +164,10 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def has_notice(text: str) -> bool:
+    return any(w in text for w in _WARRANTY) or _TRIGGER.search(text) is not None
+
+
 def sentences() -> list[tuple[str, str]]:
     """(licence, sentence) of single notices, sorted."""
     found = [(k, f.format(n)) for k, names in NAMES.items() for n in names for f in FRAMES]
@@ -181,11 +187,11 @@ def header_of(path: str | None, text: str | None, file_words: int = 0) -> tuple[
     by_name = bool(path and _FILE.search(path))
     if by_name:
         return " ".join(words(text)), 2
-    if not _TRIGGER.search(text):
+    if not has_notice(text):
         return None
     if _FULL.like(text):
         return " ".join(words(text)), 1
-    return " ".join(w for s in _SENTENCE.split(text) if _TRIGGER.search(s) for w in words(s)), int(bool(file_words) and len(text.split(None, file_words)) <= file_words)
+    return " ".join(w for s in _SENTENCE.split(text) if has_notice(s) for w in words(s)), int(bool(file_words) and len(text.split(None, file_words)) <= file_words)
 
 
 class _FullTexts:
