@@ -26,6 +26,7 @@ from tidemill.llm import (
     source_mix,
     token_counts,
     trigram_query,
+    word_slices,
 )
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -976,3 +977,47 @@ def test_language_slices_of_long_texts(monkeypatch, spark, data):
     assert [x.tolist() for x in language_id.gram_counts(texts)] == counts
     cut = language_id.infer(model, texts)
     assert cut[0] == whole[0] and np.allclose(cut[1], whole[1]) and [set(s) for s in cut[2]] == [set(s) for s in whole[2]]
+
+
+# ------------------------------------------------------------------ very long texts, a slice at a time
+
+
+def _mixed_text(rng, n):
+    words = ["a", "b", "Cc", "dd!!", "e#e", "é", "日本", "x" * 30]
+    return "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\n\n", "\t", "\r\n"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_slices_of_long_texts_change_nothing(monkeypatch, size):
+    rng = random.Random(size)
+    texts = [*ODD, *(_mixed_text(rng, n) for n in (1, 2, 3, 4, 5, 9, 30, 80, 300)), "a b c " * 50, "same line\n" * 9, " lead", "trail \n"]
+    whole = [(quality_rules.text_counts(t), simhash_dedup.fingerprint(t), similar_sets.shingles(t).tolist()) for t in texts if t is not LONG]
+    monkeypatch.setattr(word_slices, "SLICE_BYTES", size)
+    sliced = [(quality_rules.text_counts(t), simhash_dedup.fingerprint(t), similar_sets.shingles(t).tolist()) for t in texts if t is not LONG]
+    assert sliced == whole
+    for t, (counts, print_, found) in zip([t for t in texts if t is not LONG], sliced):
+        assert counts[:5] == brute_counts(t)
+        assert print_ == brute_print(t)
+
+
+def test_secret_index_by_slices(monkeypatch):
+    rng = random.Random(4)
+    parts = ["password=hunter22", "AKIA" + "Z9" * 10, "deadbeef" * 4, "ghp_" + "k" * 40, "nothing", "pass", "word"]
+    texts = [" ".join(rng.choices(parts, k=n)) for n in (0, 1, 2, 5, 20)]
+    scanner = secret_scan.Scanner()
+    whole = scanner.scan(texts)
+    assert sum(map(len, whole)) > 5
+    for size in (1, 3, 16):
+        monkeypatch.setattr(secret_scan, "SLICE_BYTES", size)
+        assert scanner.scan(texts) == whole
+
+
+def test_tables_without_rows(spark):
+    none = docs_of(spark, [])
+    assert secret_scan.digest(secret_scan.scan(none)).count() == 0
+    assert simhash_dedup.assign(none).count() == 0
+    assert simhash_dedup.keep_first(none).columns == none.columns
+    assert simhash_dedup.keep_similar(none).count() == 0
+    import public_tokenizers
+
+    assert token_counts.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0

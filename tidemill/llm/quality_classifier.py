@@ -20,7 +20,7 @@ documents are unlabelled ones. Texts are read twice: for n-gram sums, and for de
 Defined results: null text counts as empty; empty texts get the score of their description; a document labelled more
 than once is a trusted positive only if all its labels say so; without positives the prior is 0.5 and so are all
 scores; repeated rows give repeated results; an empty table gives no rows; a very long text is a block of its own, its
-n-grams are counted in slices; extra columns take no part.
+words and n-grams are counted in slices; extra columns take no part.
 """
 
 from __future__ import annotations

@@ -14,16 +14,19 @@ is evaluated by Spark. Nothing is shuffled but pattern counts. ``keep_good`` rea
 a written table, of which the fit reads the counts only.
 
 Defined results: null text counts as empty; an empty text has zero words and fails the base rule; repeated rows and
-ties get the same verdict; an empty table gives no rows; a very long text is a block of its own, of whose words one
-list is held; extra columns pass through ``keep_good`` whatever their names, and in ``assess`` take no part.
+ties get the same verdict; an empty table gives no rows; a very long text is a block of its own, of which the
+words of one slice are held, and 128-bit digests of its windows and lines, with equal counts; extra columns pass through
+``keep_good`` whatever their names, and in ``assess`` take no part.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,46 +34,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import word_slices as slicing
 from ._common import append_columns, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_twins", "n_symbol_words")
+#: Lines of a very long text that are held at once.
+_HELD_LINES = 1 << 14
 _SYMBOL_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r#*$%&|<>]*[#*$%&|<>][^ \t\n\x0b\x0c\r]*")
 
 
+def _lines(data: bytes) -> tuple[int, int]:
+    """Lines with a word, and those of them equal to an earlier one."""
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    return len(lines), len(lines) - len(set(lines))
+
+
+def _lines_by_slices(data: bytes) -> tuple[int, int]:
+    """As ``_lines``, by 128-bit digests of lines."""
+    found = [np.zeros((0, 2), dtype="<u8")]
+    lines = (x.removesuffix(b"\n") for x in io.BytesIO(data) if x.strip())
+    while part := list(islice(lines, _HELD_LINES)):
+        found.append(slicing.digests(part))
+    rows = np.concatenate(found)
+    again = rows[slicing.repeats(rows)]
+    return len(rows), len(again) - len(np.unique(again, axis=0))
+
+
+def _repeated_words(words: list[bytes]) -> int:
+    """Words in three-word windows that occur more than once."""
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
+        return 0
+    counts = Counter(windows)
+    repeats, last = 0, -1
+    for i, window in enumerate(windows):
+        if counts[window] > 1:
+            repeats += i + 3 - max(i, last)
+            last = i + 3
+    return repeats
+
+
+def _repeated_words_by_slices(data: bytes) -> int:
+    """As ``_repeated_words``, by 128-bit digests of windows."""
+    at = np.flatnonzero(slicing.repeats(np.concatenate([slicing.digests(w) for w in slicing.windows(slicing.word_slices(data), 3)])))
+    return 3 + int(np.minimum(np.diff(at), 3).sum()) if len(at) else 0
+
+
 def text_counts(text: str | None) -> tuple[int, ...]:
     """The counts of :data:`COUNTS` for one whole text. Words are runs without ASCII white space; ``n_upper`` counts
     A-Z, ``n_bangs`` words that end in ``!!``, ``n_twins`` words equal to the word before and ``n_symbol_words`` words
     with a symbol."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
-    n = len(words)
-    lines = [x for x in data.split(b"\n") if x.strip()]
     symbols = len(data) - len(data.translate(None, SYMBOLS))
-    repeats = 0
-    if n >= 4:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(set(windows)) < len(windows):
-            counts = Counter(windows)
-            last = -1
-            for i, window in enumerate(windows):
-                if counts[window] > 1:
-                    repeats += i + 3 - max(i, last)
-                    last = i + 3
+    shouted = b"!!" in data
+    n = bangs = twins = 0
+    words: list[bytes] = []
+    before = None
+    for words in slicing.word_slices(data):
+        n += len(words)
+        bangs += sum(1 for w in words if w.endswith(b"!!")) if shouted else 0
+        twins += sum(map(bytes.__eq__, words, words[1:])) + (words[:1] == [before])
+        before = words[-1] if words else before
+    short = len(data) <= slicing.SLICE_BYTES
+    lines, dup_lines = (_lines if short else _lines_by_slices)(data)
     return (
         n,
         len(text) - (len(data) - len(data.translate(None, SPACES))),
         symbols,
-        len(lines) - len(set(lines)),
-        repeats,
-        len(lines),
+        dup_lines,
+        (_repeated_words(words) if short else _repeated_words_by_slices(data)) if n >= 4 else 0,
+        lines,
         len(data) - len(data.translate(None, UPPER)),
-        sum(1 for w in words if w.endswith(b"!!")) if b"!!" in data else 0,
-        sum(map(bytes.__eq__, words, words[1:])),
-        len(_SYMBOL_WORD.findall(data)) if symbols else 0,
+        bangs,
+        twins,
+        sum(1 for _ in _SYMBOL_WORD.finditer(data)) if symbols else 0,
     )
 
 

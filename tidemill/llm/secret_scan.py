@@ -6,8 +6,8 @@ and united; only candidate rows are verified by the expression itself. Rules wit
 of hex digits, scan all rows. Posting lists hold the trigrams that some rule asks for, of whole texts. There is no
 shuffle, and no state beyond one block.
 
-Defined results: null text counts as empty and has no spans; very long texts form blocks of their own; repeated rows
-give repeated results; an empty table gives no rows; extra columns pass through, and those with the names of computed
+Defined results: null text counts as empty and has no spans; very long texts form blocks of their own, indexed a slice
+at a time; repeated rows give repeated results; an empty table gives no rows; extra columns pass through, and those with the names of computed
 columns are replaced. Spans are code points, end exclusive, sorted by start, then by the rule's place in the list.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ._common import append_columns
 from .trigram_query import Query, trigram_query, trigrams_of
+from .word_slices import SLICE_BYTES
 
 
 @dataclass(frozen=True)
@@ -62,15 +63,19 @@ class TrigramShard:
         sizes = np.array([len(d) for d in data], dtype=np.int64)
         ends = np.cumsum(sizes + 2)  # two zero bytes part the texts: no rule asks for a trigram with them
         codes = np.frombuffer(b"\0\0".join(data) + b"\0\0", dtype=np.uint8)
-        grams = codes[:-2].astype(np.uint32)
-        grams <<= 8
-        grams |= codes[1:-1]
-        grams <<= 8
-        grams |= codes[2:]
-        slot = table[grams]
-        at = np.flatnonzero(slot)
-        owner = np.searchsorted(ends, at, side="right")
-        pairs = np.unique(slot[at].astype(np.int64) * max(1, self.rows) + owner)
+        found = [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(codes) - 2, SLICE_BYTES):
+            part = codes[at : at + SLICE_BYTES + 2]
+            grams = part[:-2].astype(np.uint32)
+            grams <<= 8
+            grams |= part[1:-1]
+            grams <<= 8
+            grams |= part[2:]
+            slot = table[grams]
+            hit = np.flatnonzero(slot)
+            owner = np.searchsorted(ends, hit + at, side="right")
+            found.append(np.unique(slot[hit].astype(np.int64) * max(1, self.rows) + owner))
+        pairs = np.unique(np.concatenate(found))
         gram, row = np.divmod(pairs, max(1, self.rows))
         cuts = np.searchsorted(gram, np.arange(1, len(slots) + 2))
         self.postings = [row[cuts[i] : cuts[i + 1]] for i in range(len(slots))]

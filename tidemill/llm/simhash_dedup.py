@@ -14,23 +14,23 @@ pair is lost.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 shorter texts than a shingle are one shingle; repeated rows each get a row; a null id gets a row, and takes no part in
-minima; an empty table gives no rows; extra columns take no part.
+minima; an empty table gives no rows; extra columns take no part; of a very long text (a block of its own) the words and
+shingles of one slice are held at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import append_columns, small, written
 from .components import components, labelled
+from .word_slices import shingle_hashes
 
 SEED = 42
 SEGMENTS, WIDTH, MOST = 4, 16, 3
@@ -42,23 +42,13 @@ _COUNT_ROWS = 1 << 16
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of a whole text, unsigned."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        parts = [b" ".join(words)]
-    else:
-        joined = b" ".join(words)
-        gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
-        ends = [*gaps[shingle - 1 :].tolist(), len(joined)]
-        parts = [joined[a:b] for a, b in zip(starts, ends)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=len(parts))
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), _COUNT_ROWS):
-        bits = np.unpackbits(hashes[at : at + _COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle, SEED):
+        total += len(hashes)
+        for at in range(0, len(hashes), _COUNT_ROWS):
+            bits = np.unpackbits(hashes[at : at + _COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", drop: tuple[str, ...] = (), shingle: int = 3) -> DataFrame:
