@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, register
 from ..tables import load, shared_dir
+from .relational import with_places
 
 NATION = "n_nationkey int, n_name string, n_regionkey int"
 _ALL = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -378,10 +379,5 @@ def _(spark, d):
 
 @query("sort_whole_part", "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size, 7) DESC NULLS FIRST, p_partkey) AS place FROM part")
 def _(spark, d):
-    """A whole sort, by ranges; a row's place is its range's beginning and its place there, so no task sorts all."""
     rows = load(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).alias("s"))
-    rows = rows.repartitionByRange(F.desc_nulls_first("s"), "p_partkey").withColumn("part", F.spark_partition_id()).persist()
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a range
-    within = F.row_number().over(Window.partitionBy("part").orderBy(F.desc_nulls_first("s"), "p_partkey"))
-    return rows.join(F.broadcast(before), "part").select("p_partkey", (F.col("before") + within).alias("place"))
+    return with_places(rows, [F.desc_nulls_first("s"), F.asc("p_partkey")]).drop("s")

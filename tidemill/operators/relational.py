@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -54,6 +54,16 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def with_places(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """``df``, sorted, with the place of each row in the whole order: rows are dealt by ranges, and a row's place is its
+    range's beginning and its place there, so no task sorts all. One row for each range is broadcast."""
+    rows = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.join(F.broadcast(before), "_range").withColumn(place, F.col("_before") + within).drop("_range", "_before")
+
+
 # ---------------------------------------------------------------- projection and selection
 
 
@@ -172,17 +182,10 @@ def _(spark, d):
 
 for _name, _order in (("asc", "ASC NULLS FIRST"), ("asc_nulls_first", "ASC NULLS FIRST"), ("asc_nulls_last", "ASC NULLS LAST"), ("desc", "DESC NULLS LAST"), ("desc_nulls_first", "DESC NULLS FIRST"), ("desc_nulls_last", "DESC NULLS LAST")):
 
-    @query(f"rel_sort_{_name}", f"SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size, 7) {_order}, p_partkey) AS place FROM part QUALIFY place <= 100")
-    def _(spark, d, name=_name):
-        size = F.nullif(F.col("p_size"), F.lit(7))
-        top = load(spark, d, "part").select("p_partkey", size.alias("s")).orderBy(getattr(F, name)("s"), "p_partkey").limit(100)
-        return top.select("p_partkey", F.row_number().over(Window.orderBy(getattr(F, name)("s"), "p_partkey")).alias("place"))
-
-
-    @query(f"rel_sort_whole_{_name}", f"SELECT p_partkey, nullif(p_size, 7) AS s, row_number() OVER (ORDER BY nullif(p_size, 7) {_order}, p_partkey) AS place FROM part")
+    @query(f"rel_sort_{_name}", f"SELECT p_partkey, nullif(p_size, 7) AS s, row_number() OVER (ORDER BY nullif(p_size, 7) {_order}, p_partkey) AS place FROM part")
     def _(spark, d, name=_name):
         rows = load(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).alias("s"))
-        return rows.withColumn("place", F.row_number().over(Window.orderBy(getattr(F, name)("s"), "p_partkey"))).orderBy("place")
+        return with_places(rows, [getattr(F, name)("s"), F.asc("p_partkey")])
 
 
 @query("rel_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -222,9 +225,9 @@ _NATION = "n_nationkey, n_name, r_name"
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("left_outer", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("right_outer", "RIGHT JOIN"), ("full", "FULL JOIN"), ("full_outer", "FULL JOIN"), ("outer", "FULL JOIN")):
 
-    @query(f"join_{_how}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_nationkey < 15) {_sql} (SELECT * FROM orders WHERE o_totalprice > 50000) ON c_custkey = o_custkey")
+    @query(f"join_{_how}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) {_sql} (SELECT * FROM orders WHERE o_totalprice > 50000) ON c_custkey = o_custkey")
     def _(spark, d, how=_how):
-        c = load(spark, d, "customer").where("c_nationkey < 15").select("c_custkey")
+        c = load(spark, d, "customer").where("c_acctbal > 0").select("c_custkey")
         o = load(spark, d, "orders").where("o_totalprice > 50000").select("o_custkey", "o_orderkey")
         return c.join(o, c.c_custkey == o.o_custkey, how).select("c_custkey", "o_orderkey")
 
@@ -255,14 +258,7 @@ def _(spark, d):
     return o.agg(F.count("*").alias("n")).join(o.agg(F.max("o_orderkey").alias("m")), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("join_null_safe", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM (SELECT p_partkey, nullif(p_size, 5) AS s FROM part WHERE p_partkey < 60) a JOIN (SELECT p_partkey, nullif(p_size, 5) AS s FROM part WHERE p_partkey < 60) b ON a.s IS NOT DISTINCT FROM b.s")
-def _(spark, d):
-    p = load(spark, d, "part").where("p_partkey < 60").select("p_partkey", F.nullif(F.col("p_size"), F.lit(5)).alias("s"))
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, F.col("a.s").eqNullSafe(F.col("b.s"))).select(F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"))
-
-
-@query("join_null_safe_whole", "SELECT a.p_partkey AS x, b.n FROM (SELECT p_partkey, nullif(p_size, 5) AS s FROM part) a JOIN (SELECT nullif(p_size, 5) AS s, count(*) AS n FROM part GROUP BY 1) b ON a.s IS NOT DISTINCT FROM b.s")
+@query("join_null_safe", "SELECT a.p_partkey AS x, b.n FROM (SELECT p_partkey, nullif(p_size, 5) AS s FROM part) a JOIN (SELECT nullif(p_size, 5) AS s, count(*) AS n FROM part GROUP BY 1) b ON a.s IS NOT DISTINCT FROM b.s")
 def _(spark, d):
     p = load(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(5)).alias("s"))
     a, b = p.alias("a"), p.groupBy("s").agg(F.count("*").alias("n")).alias("b")
@@ -400,30 +396,38 @@ def _(spark, d):
     return load(spark, d, "lineitem").agg(F.round(F.covar_samp("l_quantity", "l_discount"), 6).alias("v"))
 
 
-@query("stat_describe", "SELECT count(p_size)::VARCHAR AS n, min(p_size)::VARCHAR AS low, max(p_size)::VARCHAR AS high FROM part")
-def _(spark, d):
-    x = load(spark, d, "part").describe("p_size")
+def _summary(x: DataFrame, texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """The row of a frame's summary; ``numbers`` are rounded."""
     pick = lambda s: F.max(F.when(F.col("summary") == s, F.col("p_size")))
-    return x.agg(pick("count").alias("n"), pick("min").alias("low"), pick("max").alias("high"))
+    return x.agg(*[pick(s).alias(s) for s in texts], *[F.round(pick(s).cast("double"), 6).alias(s) for s in numbers])
+
 
+_COUNTED = "count(p_size)::VARCHAR AS count, min(p_size)::VARCHAR AS min, max(p_size)::VARCHAR AS max, round(avg(p_size), 6) AS mean, round(stddev_samp(p_size), 6) AS stddev"
 
-@query("stat_summary", "SELECT count(p_size)::VARCHAR AS n, min(p_size)::VARCHAR AS low FROM part")
+
+@query("stat_describe", f"SELECT {_COUNTED} FROM part")
 def _(spark, d):
-    x = load(spark, d, "part").select("p_size").summary("count", "min", "75%")
-    pick = lambda s: F.max(F.when(F.col("summary") == s, F.col("p_size")))
-    return x.agg(pick("count").alias("n"), pick("min").alias("low"))
+    return _summary(load(spark, d, "part").describe("p_size"), ["count", "min", "max"], ["mean", "stddev"])
+
+
+@query("stat_summary", f'SELECT {_COUNTED}, quantile_disc(p_size, 0.5)::VARCHAR AS "50%", quantile_disc(p_size, 0.75)::VARCHAR AS "75%" FROM part')
+def _(spark, d):
+    x = load(spark, d, "part").select("p_size").summary("count", "min", "max", "mean", "stddev", "50%", "75%")
+    return _summary(x, ["count", "min", "max", "50%", "75%"], ["mean", "stddev"])
 
 
 @query("stat_crosstab", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def _(spark, d):
-    """Long form of ``df.stat.crosstab``: the wide one needs the driver to name its columns."""
-    return load(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    """``df.stat.crosstab``, whose columns the driver names, turned back to a row for each pair that occurs."""
+    wide = load(spark, d, "orders").stat.crosstab("o_orderstatus", "o_orderpriority")
+    key, *values = wide.columns
+    return wide.unpivot(key, values, "o_orderpriority", "n").where("n > 0").withColumnRenamed(key, "o_orderstatus")
 
 
-@query("stat_crosstab_wide", "SELECT o_orderstatus AS status, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent FROM orders GROUP BY 1")
+@query("stat_crosstab_wide", "SELECT o_orderstatus AS status, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, count(*) FILTER (o_orderpriority NOT LIKE '1%') AS other FROM orders GROUP BY 1")
 def _(spark, d):
     wide = load(spark, d, "orders").withColumn("p", F.when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("other")).stat.crosstab("o_orderstatus", "p")
-    return wide.select(F.col("o_orderstatus_p").alias("status"), "urgent")
+    return wide.withColumnRenamed("o_orderstatus_p", "status")
 
 
 @query("stat_freq_items")
@@ -455,11 +459,16 @@ def _(spark, d):
     return a.union(b).agg(F.count("*").alias("n"))
 
 
-@query("rel_observe", "SELECT count(*) AS n FROM region")
+@query("rel_observe", "SELECT count(*) AS n, max(o_orderkey) AS top FROM orders")
 def _(spark, d):
-    return load(spark, d, "region").observe("seen", F.count("*").alias("rows")).agg(F.count("*").alias("n"))
+    """What an observation saw while the rows went by to another use."""
+    seen = Observation("seen")
+    watched = load(spark, d, "orders").observe(seen, F.count("*").alias("n"), F.max("o_orderkey").alias("top"))
+    watched.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n"], seen.get["top"])], "n long, top long")
 
 
-@query("rel_is_empty", "SELECT false AS empty")
+@query("rel_is_empty", "SELECT NOT EXISTS (FROM orders WHERE o_totalprice < 0) AS below, NOT EXISTS (FROM orders) AS whole")
 def _(spark, d):
-    return spark.range(1).select(F.lit(load(spark, d, "region").isEmpty()).alias("empty"))
+    o = load(spark, d, "orders")
+    return spark.createDataFrame([(o.where("o_totalprice < 0").isEmpty(), o.isEmpty())], "below boolean, whole boolean")

@@ -26,7 +26,7 @@ STATEMENTS = {
     "limit_offset": ("nation", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 3"),
     "no_from": ("", "SELECT 1 AS one, 'x' AS x"),
     "with": ("orders", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT * FROM a WHERE s > 500000) SELECT count(*) AS n FROM b"),
-    "with_nested": ("orders", "WITH a AS (WITH z AS (SELECT o_orderkey AS k FROM orders) SELECT k FROM z WHERE k < 100) SELECT k FROM a"),
+    "with_nested": ("orders", "WITH a AS (WITH z AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders) SELECT k FROM z WHERE s = 'F') SELECT k FROM a"),
     "recursive": ("", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 10) SELECT n FROM r"),
     "union": ("nation", "SELECT n_regionkey AS k FROM nation UNION SELECT n_nationkey FROM nation"),
     "union_all": ("nation", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT n_nationkey FROM nation"),
