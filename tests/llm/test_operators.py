@@ -371,6 +371,37 @@ def test_similar_sets_find_every_pair(spark, data, bucket_rows):
     assert similar_sets.keep_first(docs_of(spark, [])).count() == 0
 
 
+def test_similar_sets_go_by_fingerprints(spark):
+    """Sets whose SimHash fingerprints are within three bits are paired by pigeonring chains, before any shingle is filed."""
+    rng = random.Random(9)
+    texts = ["", "one two", "a line that all have in common"]
+    for _ in range(5):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 900))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = list(dict.fromkeys(frozenset(similar_sets.shingles(t).tolist()) for t in texts))
+    prints = []
+    for s in sets:
+        ones = [sum(h >> b & 1 for h in s) for b in range(64)]
+        prints.append(sum(1 << b for b in range(64) if 2 * ones[b] > len(s)))
+    keys = [similar_sets.set_key(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    keys = [k - 2**64 if k >= 2**63 else k for k in keys]
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    described = similar_sets.describe(docs, "doc_id", "text").where("gram is null").groupBy("fp").agg(*(F.max(c).alias(c) for c in ("n", "print", "parity")))
+    assert {r.fp: r.print % 2**64 for r in described.collect()} == dict(zip(keys, prints))
+    pairs = similar_sets.by_prints(described)
+    got = {r.u: r.v for r in components.components(pairs).collect()}
+    want = brute_components(prints)
+    groups = {}
+    for key, root in zip(keys, want):
+        groups.setdefault(root, set()).add(key)
+    assert got == {k: min(g) for g in groups.values() for k in g if k != min(g)}
+    assert len(groups) < len(sets)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)]

@@ -20,7 +20,7 @@ shingles of one slice are held at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,10 @@ BUCKET_ROWS = 4096
 _COUNT_ROWS = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of a whole text, unsigned."""
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes, given part by part, unsigned."""
     ones, total = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(text, shingle, SEED):
+    for hashes in parts:
         total += len(hashes)
         for at in range(0, len(hashes), _COUNT_ROWS):
             bits = np.unpackbits(hashes[at : at + _COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -51,6 +51,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a whole text, unsigned."""
+    return majority(shingle_hashes(text, shingle, SEED))
+
+
 def with_fingerprints(df: DataFrame, text: str = "text", drop: tuple[str, ...] = (), shingle: int = 3) -> DataFrame:
     """``df`` with ``fp``, the fingerprint as a signed long."""
 
@@ -239,8 +244,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
 
 
 def keep_similar(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``keep_first``, of components by a five-word Jaccard similarity of 0.8 or more, which majority bits can't
-    bound: by parity fingerprints with the same filtering (see ``similar_sets``)."""
+    """As ``keep_first``, of components by a five-word Jaccard similarity of 0.8 or more: links of fingerprints, held
+    against whole sets, and then the pairs that majority bits can't show (see ``similar_sets``)."""
     from . import similar_sets
 
     return similar_sets.keep_first(df, id_col, text)

@@ -1,8 +1,11 @@
 """Near-duplicates by similarity: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of
-``LEAST`` or more. Nothing is sampled or estimated. It is the near-duplicate operator's mode for a stated similarity:
-the bits by which majority fingerprints differ do not bound the similarity of texts, so here a fingerprint has a parity
-bit for each of ``PARITY`` bins of shingles. Two sets differ in at least as many shingles as their parities in bits, so
-with a similarity s of sets of m and n shingles parities differ in (m + n) * (1 - s) / (1 + s) bits at most.
+``LEAST`` or more. Nothing is sampled or estimated. It is the near-duplicate operator's mode for a stated similarity, in
+two steps. First the operator's own: a set's SimHash fingerprint is filed and searched by pigeonring chains as in
+``simhash_dedup``, and the sets of linked fingerprints are held against each other whole. The bits by which majority
+fingerprints differ do not bound the similarity of sets, so a second step finds, among sets that these links leave in
+different components, the pairs that they can't show. For it a set also has a parity bit for each of ``PARITY`` bins of
+shingles. Two sets differ in at least as many shingles as their parities in bits, so with a similarity s of sets of m and
+n shingles parities differ in (m + n) * (1 - s) / (1 + s) bits at most.
 
 * Candidates: in any one order of all shingles, two such sets share one of their first n - ceil(s * n) + 1 shingles, so
   only these are filed (Chaudhuri et al., 2006). The order puts the ``FREQUENT`` most frequent shingles last, by how
@@ -13,8 +16,8 @@ with a similarity s of sets of m and n shingles parities differ in (m + n) * (1
   differences stay within proportional budgets; then the whole Hamming distance must stay within the pair's own.
 * What is left is checked on whole sets.
 
-Texts are read for each of these three steps, so sets are never stored: tables hold a fingerprint for each document,
-candidates, and the sets of what is left. Copies are folded first: only distinct sets take part. In a bucket of more
+Texts are read again whenever sets are needed, so these are never stored whole: tables hold the fingerprints of each
+document, candidates, and the sets of what is left. Copies are folded first: only distinct sets take part. In a bucket of more
 than ``BUCKET_ROWS`` sets, those of like size are held against one of them first; then a search by breadth
 over the pairs that parities leave connects most of it; at last, all pairs that the links found so far leave in different
 components are held against each other, by parities within the bucket. A dense group costs about its size, and no pair is
@@ -36,7 +39,8 @@ from pyspark.sql import types as T
 
 from ._common import append_columns, blocks, small, written
 from .components import components, labelled
-from .simhash_dedup import first_rows
+from .simhash_dedup import first_rows, majority
+from .simhash_dedup import links as print_links
 from .word_slices import shingle_hashes
 
 SEED, SHINGLE = 42, 5
@@ -133,9 +137,10 @@ _SETS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("grams",
 
 
 def describe(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """A row for each row of ``df``: its id, ``fp``, ``n`` (shingles) and ``parity``; and, with ``gram``, of each chunk its
-    most frequent shingles and in how many sets (``n``) they are."""
-    schema = T.StructType([df.schema[id_col], *(T.StructField(c, t) for c, t in (("fp", T.LongType()), ("n", T.LongType()), ("parity", T.BinaryType()), ("gram", T.LongType())))])
+    """A row for each row of ``df``: its id, ``fp``, ``n`` (shingles), ``print`` (the set's SimHash) and ``parity``; and, with
+    ``gram``, of each chunk its most frequent shingles and in how many sets (``n``) they are."""
+    more = (("fp", T.LongType()), ("n", T.LongType()), ("print", T.LongType()), ("parity", T.BinaryType()), ("gram", T.LongType()))
+    schema = T.StructType([df.schema[id_col], *(T.StructField(c, t) for c, t in more)])
 
     def frequent(held: list[np.ndarray], of) -> Iterator[pa.RecordBatch]:
         grams, n = np.unique(np.concatenate(held), return_counts=True)
@@ -143,8 +148,8 @@ def describe(df: DataFrame, id_col: str, text: str) -> DataFrame:
         if len(at) > CHUNK_FREQUENT:
             at = at[np.argpartition(-n[at], CHUNK_FREQUENT)[:CHUNK_FREQUENT]]
         if len(at):
-            none = [pa.nulls(len(at), t) for t in (of, pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([none[0], none[1], pa.array(n[at]), none[2], pa.array(grams[at].view(np.int64))], names=schema.names)
+            none = [pa.nulls(len(at), t) for t in (of, pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none[:2], pa.array(n[at]), *none[2:], pa.array(grams[at].view(np.int64))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have, of = [], 0, None
@@ -152,9 +157,9 @@ def describe(df: DataFrame, id_col: str, text: str) -> DataFrame:
             sets = [shingles(t) for t in block.column(text).to_pylist()]
             of = block.column(id_col).type
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [block.column(id_col), pa.array(_keys(sets)), n, pa.array([parity(s).tobytes() for s in sets], pa.binary()), pa.nulls(len(sets), pa.int64())], names=schema.names
-            )
+            prints = pa.array(np.array([majority([s]) for s in sets], dtype=np.uint64).view(np.int64))
+            parities = pa.array([parity(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column(id_col), pa.array(_keys(sets)), n, prints, parities, pa.nulls(len(sets), pa.int64())], names=schema.names)
             held += sets
             have += sum(map(len, sets))
             if have > CHUNK:
@@ -175,19 +180,6 @@ def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text: str) -> DataFrame
     return found.union(docs.where(F.col(id_col).isNull()).groupBy(F.md5(text)).agg(F.first(text).alias(text)).select(text))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _SET_ROWS):
-            yield batch.slice(at, _SET_ROWS)
-
-
-def _arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    column = batch.column(name)
-    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    ends = np.cumsum([0, *column.value_lengths().to_pylist()])
-    return [flat[a:b] for a, b in zip(ends, ends[1:])]
-
-
 def _often(s: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
     """How often each of the shingles ``s`` is, by the sorted ``known`` ones; others are rare."""
     if not len(known):
@@ -387,9 +379,26 @@ def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, id_col: s
     return written(both.select("u", "v", "a", "b").mapInArrow(_check, _LINKS), "similar-links")
 
 
+def by_prints(described: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the sets ``described`` that connect all those whose fingerprints are linked (see
+    ``simhash_dedup.links``): sets that share a fingerprint are paired with the least of them, those with each other."""
+    prints = written(described.groupBy("print").agg(F.min("fp").alias("head")), "similar-prints")
+    near = print_links(prints.select(F.col("print").alias("fp")))
+    heads = small(prints)
+    across = near.join(heads.select(F.col("print").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("print").alias("v"), F.col("head").alias("b")), "v")
+    within = described.select("fp", "print").join(heads, "print").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    return across.select("a", "b").union(within).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    return labelled(labelled(pairs, "u", stars, "a"), "v", stars, "b").where("a <> b").select("u", "v")
+
+
 def links(described: DataFrame, often: DataFrame, docs: DataFrame, id_col: str, text: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (u, v) between the distinct sets ``described`` (``fp``, ``least`` id, ``n``, ``parity``) that connect all those
-    of the least similarity. ``docs`` has the texts."""
+    """Links (u, v) between the distinct sets ``described`` (``fp``, ``least`` id, ``n``, ``print``, ``parity``) that connect
+    all those of the least similarity. ``docs`` has the texts."""
+    found = _verified(by_prints(described), described, docs, id_col, text)
     counted = often.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
     grams = counted.column("gram").to_numpy().view(np.uint64)
     by = np.argsort(grams)
@@ -397,7 +406,8 @@ def links(described: DataFrame, often: DataFrame, docs: DataFrame, id_col: str,
     posts = _texts(docs, described, id_col, text).mapInArrow(_post(order, text), _POSTS)
     dealt = posts.repartition("gram").sortWithinPartitions("gram", "n", "fp")
     out = written(dealt.mapInArrow(_pairs(bucket_rows), _PAIRS), "similar-candidates")
-    found = _verified(out.where("u is not null"), described, docs, id_col, text)
+    apart = _apart(out.where("u is not null"), components(found))
+    found = found.union(_verified(apart, described, docs, id_col, text))
     large = out.where("u is null").drop("u", "v")
     if large.isEmpty():
         return found
@@ -416,7 +426,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", bucket
     docs = df.select(id_col, text)
     rows = written(describe(docs, id_col, text), "similar-rows")
     narrow = rows.where("gram is null").select(id_col, "fp")
-    described = rows.where("gram is null").groupBy("fp").agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    described = rows.where("gram is null").groupBy("fp").agg(F.min(id_col).alias("least"), *(F.max(c).alias(c) for c in ("n", "print", "parity")))
     described = written(described, "similar-distinct")
     found = links(described, rows.where("gram is not null").select("gram", "n"), docs, id_col, text, bucket_rows)
     rooted = labelled(described.select("fp", "least"), "fp", components(found))
