@@ -11,24 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import piece_codec, quality_rules, secret_scan, simhash_dedup, source_mix
-from tidemill.llm._common import documents, release, scratch
+from tidemill.llm._common import bounded, documents, release, scratch
 
 MIX = source_mix.Mixture(weights=source_mix.MIX.weights, share=0.9, max_epochs=1, seed=source_mix.MIX.seed)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bounded(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group."""
+    bounded(spark)
     release(docs)
     return simhash_dedup.keep_similar(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
+    bounded(spark)
     release(docs)
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
@@ -36,12 +39,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their leaf's budget."""
+    bounded(spark)
     release(docs)
     return source_mix.mixed(docs, MIX, source_mix.domain_of())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
+    bounded(spark)
     release(docs)
     coded = piece_codec.encode(docs.select("doc_id", "lang", "source", "text"), piece_codec.vocabulary(), drop=("text",), check=True)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")

@@ -77,3 +77,38 @@ def test_near_duplicates_by_similarity(spark, data):
     roots = brute_similar([r.text for r in rows])
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
     assert got == {r.doc_id for i, r in enumerate(rows) if roots[i] == i}
+
+
+def test_workers_get_batches_of_bounded_bytes(spark, data):
+    """Executors hold a batch outside the heap and again in the worker: long rows come in more batches."""
+    import pyarrow as pa
+
+    from tidemill.llm import _common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    was = spark.conf.get(_common._BATCH, None)
+    spark.conf.unset(_common._BATCH)
+    try:
+        docs = docs_of(spark, [f"{i} " + "word " * 2000 for i in range(1500)]).coalesce(1)
+        corpus_pipeline.quality(spark, docs, data)
+        found = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 1500
+        assert max(r.size for r in found) <= 1.1 * _common.BLOCK_BYTES
+    finally:
+        spark.conf.unset(_common._BATCH) if was is None else spark.conf.set(_common._BATCH, was)
+
+
+def test_encoder_keeps_few_words(monkeypatch):
+    """What a worker keeps of earlier blocks is bounded, and encodings don't depend on it."""
+    import sentencepiece
+
+    m = piece_codec.PieceModel(piece_codec.vocabulary())
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_codec.vocabulary())
+    for at in range(12):
+        texts = [f"alpha{at}x{i} beta{i % 50}" for i in range(5000)]
+        ids = m.encode(texts)
+        assert [i.tolist() for i in ids[:20]] == [lib.encode(t) for t in texts[:20]]
+    assert len(m.known) <= 40_000

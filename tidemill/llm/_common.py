@@ -25,6 +25,16 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession, limit: int = BLOCK_BYTES) -> None:
+    """From now on the session hands Python workers batches of about ``limit`` bytes at most, or one row each. By itself
+    Spark fills batches of 10,000 rows or 64 MB, which executors hold twice, outside the heap and in the worker."""
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH, "64m"))) > limit:
+        spark.conf.set(_BATCH, str(limit))
+
+
 #: Tables that ``written`` made and nothing has deleted yet.
 _made: list[tuple[SparkSession, str]] = []
 
@@ -135,9 +145,10 @@ def append_columns(
     fields: list[T.StructField],
     compute: Callable[[list], list[pa.Array]],
     drop: tuple[str, ...] = (),
+    limit: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``df`` with ``fields`` appended (columns of those names, and ``drop``, go first). ``compute`` gets the texts of
-    a block, None for null, and returns one Arrow array for each field."""
+    a block (of ``limit`` bytes at most, or one text), None for null, and returns one Arrow array for each field."""
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
     names = [f.name for f in kept]
@@ -145,7 +156,7 @@ def append_columns(
     all_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, column):
+        for block in blocks(batches, column, limit):
             extra = compute(block.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([block.column(n) for n in names] + extra, names=all_names)
 

@@ -36,7 +36,9 @@ MARK = "▁"
 #: Longest run that is encoded as one piece of lattice, and the length of the chunks of longer ones.
 LONGEST, CHUNK = 256, 128
 #: Distinct words that a Python worker keeps encodings of, and characters whose lattice is built at once.
-KEPT = 150_000
+KEPT = 30_000
+#: Most bytes of text that are encoded at once: words, pieces and ids of a block take many times its size.
+ENCODE_BYTES = 1 << 20
 #: Longest text that is encoded within one task, and the length of the chunks of longer ones, in characters.
 GIANT, PART = 1 << 16, 1 << 13
 LATTICE_CHARS = 1 << 17
@@ -544,7 +546,7 @@ def encode(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] =
 
     fields = [IDS] + [T.StructField("round_trip", T.BooleanType())] * check
     giant = F.coalesce(F.length(text) > GIANT, F.lit(False))
-    usual = append_columns(df.where(~giant), text, fields, compute, drop)
+    usual = append_columns(df.where(~giant), text, fields, compute, drop, ENCODE_BYTES)
     kept = [c for c in df.columns if c not in drop and c not in {f.name for f in fields}]
     held = df.where(giant).select(F.monotonically_increasing_id().alias("key"), F.struct(*kept).alias("row") if kept else F.lit(0).alias("row"), F.col(text).alias("text"))
     held = written(held, "piece-giants")
