@@ -48,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
     bounded(spark)
     release(docs)
-    coded = piece_codec.encode(docs.select("doc_id", "lang", "source", "text"), piece_codec.vocabulary(), drop=("text",), check=True)
+    coded = piece_codec.encode(docs.select("doc_id", "lang", "source", "text"), piece_codec.vocabulary(), drop=("text",), check=True, limit=1 << 20, kept_words=30_000)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

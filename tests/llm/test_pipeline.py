@@ -109,6 +109,6 @@ def test_encoder_keeps_few_words(monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=piece_codec.vocabulary())
     for at in range(12):
         texts = [f"alpha{at}x{i} beta{i % 50}" for i in range(5000)]
-        ids = m.encode(texts)
+        ids = m.encode(texts, 30_000)
         assert [i.tolist() for i in ids[:20]] == [lib.encode(t) for t in texts[:20]]
     assert len(m.known) <= 40_000

@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import append_columns, blocks, written
+from ._common import BLOCK_BYTES, append_columns, blocks, written
 
 MARK = "▁"
 #: Longest run that is encoded as one piece of lattice, and the length of the chunks of longer ones.
 LONGEST, CHUNK = 256, 128
 #: Distinct words that a Python worker keeps encodings of, and characters whose lattice is built at once.
-KEPT = 30_000
-#: Most bytes of text that are encoded at once: words, pieces and ids of a block take many times its size.
-ENCODE_BYTES = 1 << 20
+KEPT = 150_000
 #: Longest text that is encoded within one task, and the length of the chunks of longer ones, in characters.
 GIANT, PART = 1 << 16, 1 << 13
 LATTICE_CHARS = 1 << 17
@@ -451,10 +449,10 @@ class PieceModel:
             return [MARK + w for w in whole[1:].split(MARK)]
         return re.split(f"(?<=[^{MARK}])(?={MARK})", whole)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], kept: int = KEPT) -> list[np.ndarray]:
         split = [self.words_of(t) for t in texts]
         new = set().union(*split)
-        if len(self.known) > KEPT:  # words that this block has, too, stay
+        if len(self.known) > kept:  # words that this block has, too, stay
             self.known = {w: ids for w, ids in self.known.items() if w in new}
         new.difference_update(self.known)
         self._learn(list(new))
@@ -528,15 +526,15 @@ def _as_lists(ids: list[np.ndarray]) -> pa.Array:
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = (), check: bool = False) -> DataFrame:
-    """``df`` with ``ids`` of whole texts; with ``check``, also ``round_trip``: whether decoding them gives the text
+def encode(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = (), check: bool = False, limit: int = BLOCK_BYTES, kept_words: int = KEPT) -> DataFrame:
+    """``df`` with ``ids`` of whole texts, ``limit`` bytes at once; with ``check``, also ``round_trip``: whether decoding them gives the text
     back. ``path``: the vocabulary file, on every node."""
 
     def compute(texts: list) -> list[pa.Array]:
         m = model(path)
         gc.disable()  # many short arrays, no cycles
         try:
-            ids = m.encode(texts)
+            ids = m.encode(texts, kept_words)
         finally:
             gc.enable()
         out = [_as_lists(ids)]
@@ -546,7 +544,7 @@ def encode(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] =
 
     fields = [IDS] + [T.StructField("round_trip", T.BooleanType())] * check
     giant = F.coalesce(F.length(text) > GIANT, F.lit(False))
-    usual = append_columns(df.where(~giant), text, fields, compute, drop, ENCODE_BYTES)
+    usual = append_columns(df.where(~giant), text, fields, compute, drop, limit)
     kept = [c for c in df.columns if c not in drop and c not in {f.name for f in fields}]
     held = df.where(giant).select(F.monotonically_increasing_id().alias("key"), F.struct(*kept).alias("row") if kept else F.lit(0).alias("row"), F.col(text).alias("text"))
     held = written(held, "piece-giants")
