@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemill import registry
 from tidemill.operators import aggregates
+from tidemill.versioned import table
 
 
 def test_functions_over_groups_are_called_by_batches(spark, data, tmp_path, monkeypatch):
@@ -37,3 +38,26 @@ def test_batches_hold_whole_groups(spark, tmp_path, monkeypatch, rows):
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(big, 2), (big + 1, 1), (None, 2), (-3, 2), (9, 1)], key=repr)
     orders.limit(0).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
     assert registry.queries()["grouped_apply_in_pandas"](spark, str(tmp_path)).count() == 0
+
+
+def files(spark, t):
+    return [r["count"] for r in t.to_df().groupBy(F.input_file_name()).count().collect()]
+
+
+def test_optimize_bounds_what_a_task_sorts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table, "FILE_ROWS", 100, raising=False)
+    rows = spark.range(1000).selectExpr("id", "if(id < 900, 7, id) AS often", "if(id % 2 = 0, NULL, CAST(id AS STRING)) AS s").repartition(3)
+    t = table.VersionedTable.create(rows, str(tmp_path / "t"))
+    whole = sorted(map(str, t.to_df().collect()))
+    t.optimize().z_order_by("often")
+    assert len(files(spark, t)) == 10 and max(files(spark, t)) <= 200
+    assert sorted(map(str, t.to_df().collect())) == whole
+    t.optimize().execute_compaction()
+    assert len(files(spark, t)) == 10 and max(files(spark, t)) <= 200
+    assert sorted(map(str, t.to_df().collect())) == whole
+    monkeypatch.setattr(table, "FILE_ROWS", 1000)
+    t.optimize().execute_compaction()
+    assert files(spark, t) == [1000]
+    monkeypatch.setattr(table, "FILE_BYTES", 1000)
+    t.optimize().z_order_by("id", "s")
+    assert len(files(spark, t)) > 2 and sorted(map(str, t.to_df().collect())) == whole

@@ -25,6 +25,8 @@ WHOLE_EVERY = 10
 CLAIM_SECONDS = 120
 #: Bits of each column's place along the Z curve.
 Z_BITS = 6
+#: What OPTIMIZE writes to a file, and what one of its tasks sorts, at most about.
+FILE_ROWS, FILE_BYTES = 2_000_000, 128 << 20
 
 
 class ConcurrentWrite(RuntimeError):
@@ -367,19 +369,20 @@ class Optimizer:
         files = list(state.files) if self.condition is None else t._names(t._read(state, list(state.files)).where(self.condition))
         if not files:
             return state.version
-        return t._commit(state, operation, t._written(shape(t._read(state, files)), state), files)
+        df = t._read(state, files)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files
+        parts = max(1, -(-sum(state.files[f] for f in files) // FILE_ROWS), -(-size // FILE_BYTES))
+        return t._commit(state, operation, t._written(shape(df, parts), state), files)
 
     def execute_compaction(self) -> int:
-        return self._rewritten(lambda df: df.repartition(F.spark_partition_id() * 0 + F.pmod(F.xxhash64(*df.columns), F.lit(self._parts()))), "OPTIMIZE")
-
-    def _parts(self) -> int:
-        return max(1, sum(self.table.log.state().files.values()) // 5_000_000)
+        return self._rewritten(lambda df, n: df.repartition(n, F.xxhash64(*df.columns)), "OPTIMIZE")
 
     def z_order_by(self, *columns: str) -> int:
         """Rows along a Z curve of ``columns``: each column's place among its quantiles, bits interleaved, so that files
-        hold narrow ranges of all of them. Nulls come first."""
+        hold narrow ranges of all of them. Nulls come first. Rows of one place are dealt over files in the order they
+        are read, so that a value that many rows have doesn't make a large task."""
 
-        def along(df: DataFrame) -> DataFrame:
+        def along(df: DataFrame, parts: int) -> DataFrame:
             numbers = {f"_n{i}": _number(c, df.schema[c].dataType) for i, c in enumerate(columns)}
             wide = df.withColumns(numbers)
             bounds = wide.approxQuantile(list(numbers), [k / (1 << Z_BITS) for k in range(1, 1 << Z_BITS)], 0.005)
@@ -390,7 +393,8 @@ class Optimizer:
                 place = F.when(F.col(name).isNull(), 0).otherwise(place).cast("long")
                 for bit in range(Z_BITS):
                     z = z.bitwiseOR(F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(columns) + i))
-            return wide.withColumn("_z", z).repartitionByRange(self._parts(), "_z").sortWithinPartitions("_z").select(*df.columns)
+            dealt = wide.select(*df.columns, z.alias("_z"), F.monotonically_increasing_id().alias("_at")).repartitionByRange(parts, "_z", "_at")
+            return dealt.drop("_at").sortWithinPartitions("_z").select(*df.columns)
 
         return self._rewritten(along, "OPTIMIZE")
 
