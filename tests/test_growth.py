@@ -1,5 +1,7 @@
 """Work and memory of a query grow no faster than its input: the steps that would."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,18 @@ def test_optimize_bounds_what_a_task_sorts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(table, "FILE_BYTES", 1000)
     t.optimize().z_order_by("id", "s")
     assert len(files(spark, t)) > 2 and sorted(map(str, t.to_df().collect())) == whole
+
+
+@pytest.mark.parametrize("name", ["approx_count_distinct", "approxCountDistinct"])
+def test_no_sketch_for_each_distinct_value(spark, data, name):
+    plan = registry.queries()[f"agg_{name}"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    sketches = [re.search(r"keys=\[(.*?)\]", x)[1] for x in plan.splitlines() if "approx_count_distinct(" in x and "keys=" in x]
+    assert sketches and not any("key#" in keys for keys in sketches)
+
+
+def test_estimates_beside_nulls(spark, tmp_path):
+    rows = [("A", 1, 1), ("A", 1, 2), ("A", None, 1), ("N", None, None), (None, 3, 4)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("agg_approx_count_distinct", "agg_approxCountDistinct"):
+        got = registry.queries()[name](spark, str(tmp_path)).collect()
+        assert {tuple(r) for r in got} == {("A", True), ("N", True), (None, True)} and len(got) == 3

@@ -44,8 +44,6 @@ AGGREGATES = [
     ("sumDistinct", "sum(DISTINCT l_suppkey)", "sum(DISTINCT l_suppkey)::BIGINT"),
     ("countDistinct", "count(DISTINCT l_suppkey)", "count(DISTINCT l_suppkey)"),
     ("count_distinct", "count(DISTINCT l_suppkey, l_linenumber)", "count(DISTINCT (l_suppkey, l_linenumber))"),
-    ("approx_count_distinct", "abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey)", "true"),
-    ("approxCountDistinct", "abs(approx_count_distinct(l_suppkey) - count(DISTINCT l_suppkey)) <= 0.2 * count(DISTINCT l_suppkey)", "true"),
     ("percentile_approx", "percentile_approx(l_quantity, 0.5, 100000)", "quantile_disc(l_quantity, 0.5)"),
     ("approx_percentile", "approx_percentile(l_quantity, 0.25, 100000)", "quantile_disc(l_quantity, 0.25)"),
     ("percentile", "round(percentile(l_extendedprice, 0.3), 4)", "round(quantile_cont(l_extendedprice, 0.3), 4)"),
@@ -94,6 +92,20 @@ for _name, _spark, _duck in AGGREGATES:
     register(f"agg_{_name}", _grouped(_spark), _duck and f"SELECT l_returnflag, {_duck} AS v FROM {_from} GROUP BY l_returnflag")
 
 
+def _close(name, spark_expression, column):
+    """An estimate of distinct values beside their exact number. Both are taken over distinct rows, which leave a sketch as
+    it is: in one aggregate with ``count(DISTINCT ...)``, each distinct value would carry a sketch of its own through the shuffle."""
+
+    @query(f"agg_{name}", "SELECT l_returnflag, true AS v FROM lineitem GROUP BY l_returnflag")
+    def _(spark, d):
+        values = load(spark, d, "lineitem").select("l_returnflag", column).distinct()
+        return values.groupBy("l_returnflag").agg(F.expr(spark_expression).alias("v"))
+
+
+_close("approx_count_distinct", "abs(approx_count_distinct(l_partkey, 0.02) - count(l_partkey)) <= 0.1 * count(l_partkey)", "l_partkey")
+_close("approxCountDistinct", "abs(approx_count_distinct(l_suppkey) - count(l_suppkey)) <= 0.2 * count(l_suppkey)", "l_suppkey")
+
+
 @query("agg_bitmap_or", "SELECT l_returnflag, count(DISTINCT l_linenumber) AS v FROM lineitem GROUP BY l_returnflag")
 def _(spark, d):
     part = load(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.bitmap_construct_agg(F.bitmap_bit_position("l_linenumber")).alias("b"))
