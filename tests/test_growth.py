@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import registry
-from tidemill.operators import aggregates
+from tidemill.operators import aggregates, relational
 from tidemill.versioned import table
 
 
@@ -78,3 +78,17 @@ def test_estimates_beside_nulls(spark, tmp_path):
     for name in ("agg_approx_count_distinct", "agg_approxCountDistinct"):
         got = registry.queries()[name](spark, str(tmp_path)).collect()
         assert {tuple(r) for r in got} == {("A", True), ("N", True), (None, True)} and len(got) == 3
+
+
+def test_range_join_deals_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(relational, "CELL_ROWS", 50, raising=False)
+    points = spark.range(2000).selectExpr("id AS k", "if(id % 100 = 0, NULL, 900 + id % 10) AS x", "if(id % 7 = 0, NULL, id % 2) AS g")
+    spans = spark.range(300).selectExpr("id AS n", "880.0D + id % 40 AS a", "881.0D + id % 45 AS b", "if(id % 5 = 0, NULL, id % 2) AS g")
+    got = relational.range_join(points, spans.drop("g"), "x", "a", "b", 50.0).select("k", "n")
+    want = points.join(spans, (points.x >= spans.a) & (points.x < spans.b)).select("k", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1000
+    sizes = [n for (n,) in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 4
+    got = relational.range_join(points, spans, "x", "a", "b", 50.0, ["g"]).select("k", "n")
+    want = points.join(spans, (points.g == spans.g) & (points.x >= spans.a) & (points.x < spans.b)).select("k", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

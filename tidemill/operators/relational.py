@@ -32,12 +32,41 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, ri
     return met.where("_side = 1").select("_row.*", *[F.col("_v")[v].alias(v) for v in values])
 
 
+#: Rows of a bucket on either side that a cell of a range join holds, about.
+CELL_ROWS = 4096
+#: Tasks of a range join, if shuffles have no more partitions.
+MOST_TASKS = 2000
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float, by: Sequence[str] = ()) -> DataFrame:
     """Rows with ``low <= point < high``, by an equi-join on buckets of ``width``: each span is filed under all buckets
-    that it meets, so that only neighbours are compared."""
+    that it meets, so that only neighbours are compared.
+
+    A bucket of many rows is cut into cells: its points into slices, its spans into slices, one cell for each pair of
+    slices, which a point or a span reaches by being repeated for the slices of the other side. Cells are dealt over
+    tasks, so a bucket that holds most rows is not one task's work, and a task buffers one cell at once. What is
+    broadcast is a row for each cut bucket, at most one for CELL_ROWS rows."""
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    keys = [*by, "_bucket"]
+    placed = points.where(F.col(point).isNotNull()).withColumn("_bucket", bucket(point))
     filed = spans.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("_bucket", bucket(point)).join(filed, [*by, "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
+    slices = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).alias(name))
+    cut = slices(placed, "_is").join(slices(filed, "_js"), keys).where("_is > 1 OR _js > 1")
+    cells = cut.agg(F.sum(F.col("_is") * F.col("_js"))).first()[0]
+    met = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
+    if cells is None:
+        return placed.join(filed, keys).where(met).drop("_bucket")
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(cells, MOST_TASKS))
+
+    def dealt(df: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
+        whole = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        counted = df.join(F.broadcast(cut), keys, "left").withColumns({n: F.coalesce(n, F.lit(1)), m: F.coalesce(m, F.lit(1))})
+        sliced = counted.withColumn(own, F.pmod(F.xxhash64(*whole), F.col(n)))
+        repeated = sliced.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)))
+        return repeated.drop("_is", "_js").repartition(tasks, *keys, "_i", "_j")
+
+    a, b = dealt(placed, "_i", "_is", "_j", "_js"), dealt(filed, "_j", "_js", "_i", "_is")
+    return a.join(b.hint("merge"), [*keys, "_i", "_j"]).where(met).drop("_bucket", "_i", "_j")
 
 
 def salted_join(large: DataFrame, other: DataFrame, on: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
