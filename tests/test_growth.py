@@ -92,3 +92,17 @@ def test_range_join_deals_a_hot_bucket(spark, monkeypatch):
     got = relational.range_join(points, spans, "x", "a", "b", 50.0, ["g"]).select("k", "n")
     want = points.join(spans, (points.g == spans.g) & (points.x >= spans.a) & (points.x < spans.b)).select("k", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["last_value", "sum_range_frame"])
+def test_frames_are_carried_on(spark, tmp_path, name):
+    rows = [(k % 3 or None, k // 2, k % 7 if k % 5 else None, k * k % 11 if k % 4 else None, f"2000-01-{k % 9 + 1:02}" if k % 8 else None) for k in range(90)]
+    table = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, d string")
+    table.selectExpr("*", "CAST(d AS TIMESTAMP) AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = registry.queries()[f"win_{name}"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    frames = re.findall(r"specifiedwindowframe\(\w+, (\S+?\$?(?:\(\))?), ", plan)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    found = next(w for w in aggregates.WINDOWS if w[0] == name)
+    stated = spark.read.parquet(str(tmp_path / "lineitem.parquet")).selectExpr("l_orderkey", "l_linenumber", f"{found[1]} {found[2]} AS v")
+    assert sorted(map(str, df.collect())) == sorted(map(str, stated.collect()))

@@ -236,13 +236,23 @@ WINDOWS = [
 ]
 
 
-def _windowed(expression, window):
+#: The same values by frames that Spark carries on from row to row: frames that end at the last row, and those that slide by
+#: values, it would walk anew for each row, which goes by the square of a partition. The last row from here on is the partition's
+#: last; a sum over a span of values is the sum up to its end less the sum up to its beginning.
+_CARRIED = {
+    "last_value": f"last_value(l_partkey) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "sum_range_frame": f"sum(l_linenumber) {_TIES} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) - coalesce(sum(l_linenumber) {_TIES} RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0L)",
+}
+
+
+def _windowed(name, expression, window):
     body = expression.format(w=window) if "{w}" in expression else f"{expression} {window}"
-    return body, lambda spark, d: load(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{body} AS v")
+    run = _CARRIED.get(name, body)
+    return body, lambda spark, d: load(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{run} AS v")
 
 
 for _name, _spark, _win, _duck in WINDOWS:
-    _body, _run = _windowed(_spark, _win)
+    _body, _run = _windowed(_name, _spark, _win)
     _twin = _body if _duck is None else (_duck.format(w=_win) if "{w}" in _duck else f"{_duck} {_win}")
     _cast = "::BIGINT" if _twin.startswith("sum(") else "::INTEGER" if _name in ("row_number", "rank", "dense_rank", "ntile") else ""
     register(f"win_{_name}", _run, f"SELECT {_KEY}, ({_twin}){_cast} AS v FROM lineitem")
