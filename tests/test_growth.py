@@ -106,3 +106,20 @@ def test_frames_are_carried_on(spark, tmp_path, name):
     found = next(w for w in aggregates.WINDOWS if w[0] == name)
     stated = spark.read.parquet(str(tmp_path / "lineitem.parquet")).selectExpr("l_orderkey", "l_linenumber", f"{found[1]} {found[2]} AS v")
     assert sorted(map(str, df.collect())) == sorted(map(str, stated.collect()))
+
+
+@pytest.mark.parametrize("kept", [0, 1, 10_000])
+def test_exact_quantiles(spark, monkeypatch, kept):
+    monkeypatch.setattr(relational, "KEPT_ROWS", kept, raising=False)
+    p = [0.0, 0.25, 0.3, 0.5, 0.75, 1.0]
+    df = spark.range(4000).selectExpr("CAST(id * 7919 % 4001 AS DOUBLE) AS `a.b`", "CAST(id % 2 AS INT) AS two", "if(id % 3 = 0, NULL, if(id % 3 = 1, double('NaN'), double(id))) AS holed", "5 AS same", "CAST(NULL AS INT) AS none")
+    for c in ("a.b", "two", "holed", "same"):
+        assert relational.exact_quantiles(df, c, p) == df.approxQuantile(f"`{c}`", p, 0.0)
+    assert relational.exact_quantiles(df, "none", p[:2]) == [None, None]
+
+
+@pytest.mark.parametrize("name", ["frame_approx_quantile", "frame_stat_approx_quantile"])
+def test_no_sketch_of_all_values(spark, data, name, monkeypatch):
+    asked, f = [], type(spark.range(1)).approxQuantile
+    monkeypatch.setattr(type(spark.range(1)), "approxQuantile", lambda df, c, p, error: asked.append(error) or f(df, c, p, error))
+    assert None not in registry.queries()[name](spark, data).first() and 0.0 not in asked
